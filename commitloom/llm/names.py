@@ -279,13 +279,12 @@ def link_names(names: DataFrame, clues: DataFrame) -> DataFrame:
     first = parsed.filter("ord = 0")
     is_form = F.col("kind").isin("full", "org")
     forms = cut(first.filter(is_form).groupBy("kind", "given", "surname").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spellings"), F.max("initial").alias("initial"), F.max("cls").alias("cls")).withColumn("form", F.concat_ws("|", "kind", "given", "surname")))
-    near = cut(trie_join(first.select(F.col("surname").alias("token")).distinct()))
-    near = near.unionAll(first.select("surname").distinct().select(F.col("surname").alias("a"), F.col("surname").alias("b"), F.lit(0).alias("d")))
+    tokens = cut(first.select(F.col("surname").alias("token")).distinct())
+    near = cut(trie_join(tokens).unionAll(tokens.select(F.col("token").alias("a"), F.col("token").alias("b"), F.lit(0).alias("d"))))
     by_name = first.select("name", F.concat_ws("|", "kind", "given", "initial", "surname").alias("any"), F.when(is_form, F.concat_ws("|", "kind", "given", "surname")).otherwise(F.concat_ws("|", F.lit("i"), "initial", "surname")).alias("form"), "kind")
     accounts = by_name.select("name", "form").join(clues.filter("kind = 'account'").select("name", "clue"), "name").select("form", "clue").distinct()
     hints = by_name.select("name", "form").join(_email_names(clues), "name").select("form", "hint").distinct()
-    shared_accounts = cut(accounts)
-    hints = cut(hints)
+    accounts, hints = cut(accounts), cut(hints)
     joined = F.concat(F.regexp_replace(F.col("given"), "[yj]", "i"), F.col("surname"))
 
     # candidates among full forms: the same given name, surnames within the distance; other orders of unknown parts
@@ -296,8 +295,8 @@ def link_names(names: DataFrame, clues: DataFrame) -> DataFrame:
     other = parsed.filter("kind = 'full' and ord > 0").join(own_form, "name").select("c", "given", F.col("surname").alias("a")).distinct()
     turned = other.join(near.filter("d <= 1"), "a").join(p, ["given", "b"]).join(c.select("c", "cn", "ccls", "cjoin"), "c").filter("c <> p and (pn > cn or (pn = cn and p < c))").withColumn("d", F.col("d") + 1)
     pairs = pairs.select("c", "p", "d", "cn", "pn", "cjoin", "pjoin").unionByName(turned.select("c", "p", "d", "cn", "pn", "cjoin", "pjoin"))
-    pairs = pairs.groupBy("c", "p", "cn", "pn", "cjoin", "pjoin").agg(F.min("d").alias("d")).join(forms.select(F.col("form").alias("c"), "spellings"), "c")
-    pairs = _with_clues(pairs, shared_accounts, hints)
+    pairs = cut(pairs.groupBy("c", "p", "cn", "pn", "cjoin", "pjoin").agg(F.min("d").alias("d")).join(forms.select(F.col("form").alias("c"), "spellings"), "c"))
+    pairs = _with_clues(pairs, accounts, hints)
     # two full forms are the same name if one edit apart, else if a clue says so or the rarer one, written in one way only, has no email of its own
     sure = pairs.filter("d = 1 or same_account or hinted or (not own and spellings = 1 and cn * 2 <= pn)")
     best = Window.partitionBy("c").orderBy(F.col("same_account").desc(), F.col("hinted").desc(), "d", F.col("pn").desc(), "p")
@@ -308,16 +307,14 @@ def link_names(names: DataFrame, clues: DataFrame) -> DataFrame:
     people = forms.filter("kind = 'full'").join(roots, "form").select(F.col("root").alias("p"), F.col("form").alias("via"), "initial", F.col("surname").alias("b"), F.col("n").alias("pn"), joined.alias("pjoin"))
     shy = by_name.filter("kind = 'initial'").select("form").distinct().select(F.col("form").alias("c"), F.split("form", r"\|")[1].alias("initial"), F.split("form", r"\|")[2].alias("a"))
     fits = shy.join(near, "a").join(people, ["initial", "b"])
-    fits = _with_clues(fits.select("c", F.col("via").alias("p"), "d", F.lit(0).alias("cn"), "pn", F.lit("").alias("cjoin"), "pjoin", F.col("p").alias("root")), shared_accounts, hints)
+    fits = _with_clues(cut(fits.select("c", F.col("via").alias("p"), "d", F.lit("").alias("cjoin"), "pjoin", F.col("p").alias("root"))), accounts, hints)
     fits = fits.filter("d <= 1 or same_account or hinted").withColumn("score", F.expr("4 * int(same_account) + 4 * int(hinted) - d"))
     fits = fits.groupBy("c", "root").agg(F.max("score").alias("score"))
     top = Window.partitionBy("c")
     chosen = fits.withColumn("most", F.max("score").over(top)).filter("score = most").withColumn("k", F.count(F.lit(1)).over(top)).filter("k = 1").select(F.col("c").alias("form"), "root")
-    # initials that fit nobody: linked with one another if one edit apart
-    every = roots.unionByName(chosen)
-    entity = by_name.join(every, "form", "left").select("name", F.coalesce("root", "form").alias("root"))
+    entity = cut(by_name.join(roots.unionByName(chosen), "form", "left").select("name", F.coalesce("root", "form").alias("root")))
     stands = entity.join(known, "name").groupBy("root").agg(F.max_by("name", F.struct("n", "name")).alias("entity"))
-    return entity.join(stands, "root").select("name", "entity")
+    return cut(entity.join(stands, "root").select("name", "entity"))
 
 
 def _with_clues(pairs: DataFrame, accounts: DataFrame, hints: DataFrame) -> DataFrame:
