@@ -1,6 +1,6 @@
 """All queries of the core, by name, and their SQL counterparts."""
 
-from . import problems
+from . import problems, reference
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLE = {**problems.ORACLE, **reference.ORACLE}
