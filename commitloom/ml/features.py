@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from ..functions.parsing import log1
 
 
+def _members(name: str, values: Column) -> Column:
+    """One feature per distinct member of an array."""
+    made = F.transform(F.array_distinct(values), lambda x: F.struct(F.concat(F.lit(name + "_"), x).alias("feature"), F.lit(1.0).alias("value")))
+    return F.coalesce(made, F.expr("cast(array() as array<struct<feature:string,value:double>>)"))
+
+
 def to_long(df: DataFrame, entity: str, numbers: dict[str, Column], categories: dict[str, Column] | None = None, sets: dict[str, Column] | None = None) -> DataFrame:
     """``entity, feature, value``: numbers as they are, categories as ``name=value`` and set members as ``name_member`` with 1; nulls are left out."""
     parts = [F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("double").alias("value")) for n, c in numbers.items()])] if numbers else []
     if categories:
         parts.append(F.array(*[F.struct(F.concat(F.lit(n + "="), c.cast("string")).alias("feature"), F.when(c.isNotNull(), F.lit(1.0)).alias("value")) for n, c in categories.items()]))
     for n, c in (sets or {}).items():
-        parts.append(F.coalesce(F.transform(F.array_distinct(c), lambda x, n=n: F.struct(F.concat(F.lit(n + "_"), x).alias("feature"), F.lit(1.0).alias("value"))), F.expr("cast(array() as array<struct<feature:string,value:double>>)")))
+        parts.append(_members(n, c))
     return df.select(entity, F.explode(F.concat(*parts)).alias("f")).select(entity, "f.feature", "f.value").filter("feature is not null and value is not null")
 
 

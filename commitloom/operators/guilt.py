@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.parsing import policy_weight, weight_of
+from ..runtime import fresh
 
 
 def normalised(blame: DataFrame, entry: list[str], commit: str, weight: Column | None = None) -> DataFrame:
@@ -54,7 +55,8 @@ def total_grid(raw: DataFrame, commit: str, severity_of: dict[str, int], levels:
         for level, base in lv.items():
             parts = [F.col(s) * policy_weight(F.lit(w - base), policy) for s, w in severity_of.items() if w > base]
             cells.append(F.struct(F.lit(policy).alias("policy"), F.lit(level).alias("level"), (sum(parts[1:], parts[0]) if parts else F.lit(0.0)).alias("total")))
-    return raw.select(commit, F.explode(F.array(*cells)).alias("c")).select(commit, "c.policy", "c.level", "c.total")
+    cell = fresh([commit], "cell")
+    return raw.select(commit, F.explode(F.array(*cells)).alias(cell)).select(commit, f"{cell}.policy", f"{cell}.level", f"{cell}.total")
 
 
 def weighted(shares: DataFrame, bugs_of_entry: DataFrame, entry: list[str], commit: str, policy: str = "linear") -> DataFrame:

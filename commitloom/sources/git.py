@@ -129,8 +129,8 @@ def diffs(pairs: DataFrame, repository: str) -> DataFrame:
                     m = re.search(r"(?m)^\+\+\+ (?:b/(.*)|/dev/null)$", piece)
                     o = re.search(r"(?m)^--- (?:a/(.*)|/dev/null)$", piece)
                     path = (m and m[1]) or (o and o[1])
-                    if path:
-                        rows.append((new, old, path, piece))
+                    if path:  # git ends names with blanks by a tab
+                        rows.append((new, old, path.rstrip("\t"), piece))
             yield pd.DataFrame(rows, columns=["diff_commit", "blame_commit", "path", "diff_text"])
 
     return pairs.select("diff_commit", "blame_commit").distinct().mapInPandas(run, "diff_commit string, blame_commit string, path string, diff_text string")
