@@ -142,7 +142,7 @@ def given_names(word: str) -> tuple[list[str], int]:
         if word in _GIVEN:
             _KNOWN[word] = [_GIVEN[word]], 0
         else:
-            near = [(d, _GIVEN[w]) for w, d in _GIVEN_TRIE.near(word, edits_for(len(word))) if len(w) >= 4]
+            near = [(d, _GIVEN[w]) for w, d in _GIVEN_TRIE.near(word, edits_for(len(word)) or int(len(word) == 3)) if len(w) >= 4]
             least = min(near)[0] if near else 9
             _KNOWN[word] = sorted({g for d, g in near if d == least}), least
     return _KNOWN[word]

@@ -24,7 +24,7 @@ ALWAYS = frozenset(
     "т.е т.к т.н ок рис см стр им ул г-н г-жа напр др.рис डॉ श्री د".split()
 )
 #: Abbreviations that suppress a break only before a number.
-BEFORE_NUMBER = frozenset("no nos nr p art para max min vol num fig sec".split())
+BEFORE_NUMBER = frozenset("v n s no nos nr p art para max min vol num fig sec".split())
 #: Abbreviations that suppress a break unless a capital, a digit or a quote follows.
 UNLESS_CAPITAL = frozenset("a.m p.m etc usw inc ltd corp co jr sr u.s u.k т.д т.п др пр etc.".split()) - {"sr"}
 #: Words in lower case that go on a sentence after an abbreviation at its possible end.

@@ -18,7 +18,7 @@ def flag_files(blobs: DataFrame, id_col: str = "blob_id", project: str = "projec
 
     Every text is tried against every grammar, the likeliest by its tokens
     first.  ``verdict`` is valid, wrong_extension (it obeys another grammar
-    only) or corrupt (it obeys none).  Files with other extensions, null paths
+    only) or corrupt (it obeys none; a blank text says nothing about others).  Files with other extensions, null paths
     and null contents give no rows.  An empty text is valid where the grammar
     allows it (not in Go and JSON).  Texts are parsed whole, whatever their
     length; what nests too deep to be parsed is broken.  Copies of a row give
@@ -33,7 +33,7 @@ def flag_files(blobs: DataFrame, id_col: str = "blob_id", project: str = "projec
                 if language is None:
                     continue
                 good = grammars.parses(text)
-                verdict = "valid" if language in good else "wrong_extension" if good else "corrupt"
+                verdict = "valid" if language in good else "wrong_extension" if good and text.strip() else "corrupt"
                 rows.append((i, who, language, good, language not in good, verdict))
             yield pd.DataFrame(rows, columns=["blob_id", "project", "language", "parses", "broken", "verdict"])
 
