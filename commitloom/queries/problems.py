@@ -29,6 +29,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _nested(spark, d).select("src_table", "parent_key", "child_path")
 
 
+def p1_typed_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of the typed tables alone."""
+    return _nested(spark, d).filter("src_table <> 'raw_lines'").select("src_table", "parent_key", "child_path")
+
+
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
     """All child rows with the link to their parent child."""
     return _nested(spark, d).select("src_table", "parent_key", "child_path", "parent_path", "field", "name", "pos")
@@ -90,7 +95,7 @@ def p4_recorded(spark: SparkSession, d: str) -> DataFrame:
     return side.filter(F.col("recorded").isNotNull() & F.col("on_master_branch") & (F.col("recorded") != 0) & (F.col("depth") >= 0)).select(F.col("node").alias("cid"), "depth", "recorded")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_votes, p1_replies, p2_found, p2_reasons, p2_by_month, p4_found, p4_paths, p4_descendants, p4_recorded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_typed_tables, p1_links, p1_votes, p1_replies, p2_found, p2_reasons, p2_by_month, p4_found, p4_paths, p4_descendants, p4_recorded)}
 
 _P4_LINKS = """
 WITH RECURSIVE cur AS (SELECT cid, parents[1] AS up, coalesce(tombstone, false) AS dead, row_number() OVER (PARTITION BY cid ORDER BY ingested_at DESC, parents[1] DESC NULLS LAST) AS rn FROM commits),
@@ -130,7 +135,6 @@ _P2 = _P2.replace("GROUP BY ALL)\n", "GROUP BY src_table, src_key, ref_field, re
 _P1 = """
 WITH cd AS (SELECT * FROM (SELECT _number, labels, messages, coalesce(tombstone, false) AS dead, row_number() OVER (PARTITION BY _number ORDER BY ingested_at DESC) AS rn FROM change_details) WHERE rn = 1 AND NOT dead),
 bg AS (SELECT * FROM (SELECT id, messages, coalesce(tombstone, false) AS dead, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM bugs) WHERE rn = 1 AND NOT dead),
-rl AS (SELECT * FROM (SELECT rec_no, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM raw_lines) WHERE j IS NOT NULL),
 lab AS (SELECT _number, unnest(map_entries(labels)) AS e FROM cd),
 msg AS (SELECT _number, unnest(messages) AS m, generate_subscripts(messages, 1) - 1 AS i FROM cd),
 com AS (SELECT _number, i, unnest(m.comments) AS c, generate_subscripts(m.comments, 1) - 1 AS j FROM msg),
@@ -149,6 +153,7 @@ UNION ALL SELECT 'bugs', id, 'messages/' || i || '/attachments/' || j FROM att W
 """
 
 ORACLE = {
+    "p1_typed_tables": _P1,
     "p2_found": _P2 + "SELECT src_table, src_key, ref_field, ref_value FROM found WHERE reason IS NOT NULL",
     "p2_reasons": _P2 + "SELECT src_table, src_key, ref_field, ref_value, reason FROM found WHERE reason IS NOT NULL",
     "p2_by_month": _P2 + "SELECT src_table, ref_field, strftime(made_at, '%Y-%m') AS month, reason, count(*) AS orphans FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
