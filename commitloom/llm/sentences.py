@@ -36,6 +36,8 @@ AFTER_ELLIPSIS = regex.compile(r"但是|但|可是|不过|然而|而且|而|所
 
 _TERM = r"\p{SB=STerm}\p{SB=ATerm}…⋯"
 EVENT = regex.compile(rf"(?P<term>(?:[ \u00a0\u202f](?=[!?;](?:\s|$|[»”\"])))?[{_TERM}]+)|(?P<open>[(\[{{（［｛【〔「『《〈«‹„‚“‘“])|(?P<close>[)\]}}）］｝】〕」』》〉»›”’])|(?P<quote>\")|(?P<blank>\s+)")
+#: The same without blanks, for runs in which they part nothing.
+MARK = regex.compile(EVENT.pattern.rsplit("|", 1)[0])
 CLOSERS = regex.compile(r"(?:[\u00a0\u202f ]?[»›]|[\"'”’“)\]}）］｝】〕」』》〉])+")
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "｛": "｝", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "„": "“", "‚": "‘", "“": "”", "‘": "’"}
 BRACKETS = frozenset("([{（［｛【〔")
@@ -63,6 +65,16 @@ ATTRIBUTION = regex.compile(r"[ \t]*(?:On|Am|Le|El|Il|Op|W dniu)\b.{0,200}(?:wro
 RULE_FIELDS = regex.compile(r"^\s*(\|.*\||\+[-=+]+\+)\s*$")
 FINISHED = regex.compile(rf"[{_TERM}:：;；][\s\"'”’“)\]}}）］｝】〕」』》〉»›]*$")
 
+_BULLET = regex.compile(r"[ \t]*[-*•][ \t]+\S")
+_DOTS = regex.compile(r"\.\s*")
+_LOWER = regex.compile(r"\p{Ll}+")
+_UNIT = regex.compile(r"\d[\s\u00a0]?\p{Ll}$")
+_LETTERS = regex.compile(r"\p{L}+")
+_BEGINS = regex.compile(r"\p{L}|[\p{Ps}\p{Pi}\"¿¡]|\p{N}")
+_CASELESS = regex.compile(r"\p{Lo}")
+_REPEATS = regex.compile(r"ๆ|ฯ")
+_LINE_END = regex.compile(r"(\r\n|\n|\r|\u2028|\u2029|\x85)")
+
 
 def _kind(line: str, following: str | None, open_prose: bool) -> str:
     """prose, item, line (one sentence as a whole) or chat."""
@@ -73,7 +85,7 @@ def _kind(line: str, following: str | None, open_prose: bool) -> str:
         return "line"
     if MARKED_HEADING.match(body) or (following is not None and UNDERLINE.match(following) and len(body.strip()) <= 120):
         return "line"
-    if regex.match(r"[ \t]*[-*•][ \t]+\S", body) or (not open_prose and (CODE.match(body) or ITEM.match(body) or NUMBERED_HEADING.match(body))):
+    if _BULLET.match(body) or (not open_prose and (CODE.match(body) or ITEM.match(body) or NUMBERED_HEADING.match(body))):
         return "line"
     return "prose"
 
@@ -81,7 +93,7 @@ def _kind(line: str, following: str | None, open_prose: bool) -> str:
 def blocks(text: str) -> list[tuple[int, int, bool]]:
     """Stretches ``start, end, whole`` of the text: runs of prose, and lines that are one sentence as a whole."""
     out: list[tuple[int, int, bool]] = []
-    pieces = regex.split(r"(\r\n|\n|\r|\u2028|\u2029|\x85)", text)
+    pieces = _LINE_END.split(text)
     at, lines = 0, []
     for i in range(0, len(pieces), 2):
         lines.append((at, at + len(pieces[i])))
@@ -136,26 +148,26 @@ def _breaks_after(text: str, start: int, mark: str, at: int, nxt: int, end: int)
             return False  # decimals, names of files, versions
         if len(mark) > 1:
             return not (after.islower() or after.isdigit() or after in ",;")
-        before = text[start:at]
+        before = text[max(start, at - 80) : at]
         m = WORD_BEFORE.search(before)
         word = m.group() if m else ""
-        parts = regex.split(r"\.\s*", word)
+        parts = _DOTS.split(word)
         low, last = ".".join(parts).lower(), parts[-1]
         if after in ",;:)—–":
             return False
         if low in UNLESS_CAPITAL:
-            w = regex.match(r"\p{Ll}+", text[nxt:end])
+            w = _LOWER.match(text, nxt, end)
             return not (w and (w.group() in GOES_ON or not low.isascii()))
         if low in ALWAYS or last.lower() in ALWAYS or any(".".join(parts[i:]).lower() in ALWAYS for i in range(len(parts) - 1)):
             return False
         if last.lower() in BEFORE_NUMBER and after.isdigit():
             return False
-        if len(parts) == 1 and regex.search(r"\d[\s\u00a0]?\p{Ll}$", before):
+        if len(parts) == 1 and _UNIT.search(before):
             return True  # a unit
         if len(last) == 1 and last.isalpha() and last.lower() != last.upper():
             return not after.isalpha()  # an initial, or part of an abbreviation
         if word.isdigit() and len(word) <= 2:
-            w = regex.match(r"\p{L}+", text[nxt:end])
+            w = _LETTERS.match(text, nxt, end)
             if w and w.group().lower() in MONTHS:
                 return False
         return True
@@ -165,8 +177,8 @@ def _breaks_after(text: str, start: int, mark: str, at: int, nxt: int, end: int)
         if mark.count("…") < 2 and WIDE.match(after):
             return False
         return not after.islower()
-    if glued and not (WIDE.match(after) or regex.match(r"\p{L}|[\p{Ps}\p{Pi}\"¿¡]|\p{N}", after) and not mark.isascii()):
-        return after in "¿¡" or regex.match(r"[\p{Lo}]", after) is not None
+    if glued and not (WIDE.match(after) or _BEGINS.match(after) and not mark.isascii()):
+        return after in "¿¡" or _CASELESS.match(after) is not None
     if glued and mark.isascii() and not WIDE.match(after):
         return False
     if after in ",;，、；":
@@ -188,6 +200,8 @@ def split_prose(text: str, start: int, end: int) -> list[tuple[int, int]]:
     stack: list[tuple[str, int]] = []  # closing mark wanted, place of the opening one
     pos, begin = head, head  # begin: where the words of this sentence begin
 
+    event = EVENT if UNMARKED.search(text, start, end) else MARK
+
     def emit(stop: int, following: int) -> None:
         nonlocal first, begin, stack
         out.append((first, stop))
@@ -195,7 +209,7 @@ def split_prose(text: str, start: int, end: int) -> list[tuple[int, int]]:
         stack = []
 
     while pos < end:
-        m = EVENT.search(text, pos, end)
+        m = event.search(text, pos, end)
         if not m:
             break
         kind = m.lastgroup
@@ -287,7 +301,7 @@ def _closes(text: str, mark: str, at: int, end: int) -> bool:
 
 def _unmarked_break(text: str, begin: int, at: int, nxt: int, end: int) -> bool:
     """Whether a blank in a script without terminators parts two sentences."""
-    return nxt >= end or UNMARKED.search(text, begin, at) is not None and not regex.match(r"ๆ|ฯ", text[nxt:end])
+    return nxt >= end or UNMARKED.search(text, begin, at) is not None and not _REPEATS.match(text, nxt, end)
 
 
 def _quote_breaks(text: str, opened: int, bracket: bool, alone: bool, stop: int, nxt: int, end: int) -> bool:
