@@ -47,6 +47,8 @@ PHONE = regex.compile(
 PHONE_WORDS = regex.compile(r"\b(?:tel|phone|call|ring|fax|mobile|cell|anrufen|telefon|téléphone|teléfono|llame|appelez|reach|contact|on the phone|whatsapp)\b", regex.I)
 NUMBER_WORDS = regex.compile(r"\b(?:version|port|build|ticket|bug|block|counts?|twice|rows?|checksum|request id|requests?|hosts?|node|pid|step|lines?|bytes|timestamp|started at|epoch|serial|ean|isbn|CVE|MAC)\b", regex.I)
 
+COUNTED = regex.compile(r"^[ ]?(?:block|twice|rows?|requests?|hosts?|nodes?|steps?|lines?|bytes|bugs?|builds?)\b")
+
 #: What may be written before the number of a document of a person, by sort; fixed values.
 ID_LABEL = (
     r"(?:passport(?: (?:no|number|nr|num|#))?|passeport|reisepass(?:nummer)?|pasaporte|SSN|social(?: security)?(?: (?:no|number))?|tax(?:payer)?(?: (?:id|number|no|file number))|TIN|ITIN|steuer(?:-?id|nummer)|NIF|DNI|NIE|"
@@ -153,7 +155,7 @@ def _phones(text: str) -> Iterator[tuple[float, int, int, str]]:
             score -= 0.4
         if PHONE_WORDS.search(before[-25:]) or PHONE_WORDS.search(after[:15]):
             score += 0.3
-        if NUMBER_WORDS.search(before[-18:]) or NUMBER_WORDS.search(after[:14]):
+        if NUMBER_WORDS.search(before[-18:]) or COUNTED.search(after):
             score -= 0.35
         if ID_WORDS.search(before[-30:]):
             score -= 0.4
@@ -178,7 +180,7 @@ def _ids(text: str) -> Iterator[tuple[float, int, int, str]]:
             before, after = _near(text, a, b)
             score = ID_BASE[name]
             score += 0.4 * bool(ID_WORDS.search(before[-35:])) + 0.3 * bool(LEAK_WORDS.search(before[-30:]) or LEAK_WORDS.search(after[:25]))
-            score -= 0.35 * bool(NUMBER_WORDS.search(before[-18:]) or NUMBER_WORDS.search(after[:14]))
+            score -= 0.35 * bool(NUMBER_WORDS.search(before[-18:]) or COUNTED.search(after))
             if name == "dni":
                 score += 0.3 * check_letter(m.group())
             elif name == "iban":
@@ -190,7 +192,7 @@ def _ids(text: str) -> Iterator[tuple[float, int, int, str]]:
 
 def _addresses(text: str) -> Iterator[tuple[float, int, int, str]]:
     for m in ADDRESS.finditer(text):
-        yield 0.92, m.start(), m.end(), "ADDRESS"
+        yield 1.5, m.start(), m.end(), "ADDRESS"  # whole addresses hold words that may be names
 
 
 def _is_given(word: str) -> int:
@@ -199,13 +201,20 @@ def _is_given(word: str) -> int:
     return 1 if s in WEAK else 2 if s in GIVEN else 0
 
 
+_INITIAL = regex.compile(r"\p{Lu}\.")
+_COMMA = regex.compile(r",[ \t]")
+_GAP = regex.compile(r"[ \t]{1,2}|(?<=\.)")
+_JOINED = regex.compile(r"[\w@/.+=&?-]")
+_JOINS = regex.compile(r"[\w@/(=]|\.\w|-\w")
+
+
 def _names(text: str) -> Iterator[tuple[float, int, int, str]]:
     tokens = list(TOKEN.finditer(text))
     i = 0
     while i < len(tokens):
         t = tokens[i]
         word = t.group()
-        if not word[0].isupper() or text[max(0, t.start() - 1) : t.start()] in ("_", "@", "/", ".", "-", "+") or regex.match(r"[_@/(=]|\.\w|-\w", text[t.end() : t.end() + 2]) and not word.endswith("."):
+        if not word[0].isupper() or _JOINED.match(text, max(0, t.start() - 1), t.start()) or (_JOINS.match(text, t.end(), t.end() + 2) and not word.endswith(".")):
             i += 1
             continue
         used, strength = _take_name(text, tokens, i)
@@ -214,7 +223,7 @@ def _names(text: str) -> Iterator[tuple[float, int, int, str]]:
             continue
         a, b = t.start(), tokens[i + used - 1].end()
         before, after = _near(text, a, b)
-        if text[b - 1] == "." and used and regex.fullmatch(r"\p{Lu}\.", tokens[i + used - 1].group()) and used == 1:
+        if text[b - 1] == "." and used and _INITIAL.fullmatch(tokens[i + used - 1].group()) and used == 1:
             i += 1
             continue
         score = strength + 0.25 * bool(NAME_BEFORE.search(before)) + 0.2 * bool(NAME_AFTER.search(after))
@@ -232,30 +241,30 @@ def _sentence_start(before: str) -> bool:
 
 
 def _adjacent(text: str, left: regex.Match, right: regex.Match, comma: bool = False) -> bool:
-    return regex.fullmatch(r",[ \t]" if comma else r"[ \t]{1,2}|(?<=\.)", text[left.end() : right.start()]) is not None
+    return (_COMMA if comma else _GAP).fullmatch(text, left.end(), right.start()) is not None
 
 
 def _take_name(text: str, tokens: list, i: int) -> tuple[int, float]:
     """How many tokens from the i-th on are one name, and how sure that is."""
     n = len(tokens)
     word = tokens[i].group()
-    initial = regex.fullmatch(r"\p{Lu}\.", word) is not None
+    initial = _INITIAL.fullmatch(word) is not None
     # Surname, Given or Surname, I.
     if not initial and i + 1 < n and _adjacent(text, tokens[i], tokens[i + 1], True) and not _is_given(word) and word.lower() not in _COMMON:
         nxt = tokens[i + 1].group()
-        if nxt[0].isupper() and (_is_given(nxt) == 2 or (regex.fullmatch(r"\p{Lu}\.", nxt) and NAME_BEFORE.search(_near(text, tokens[i].start(), 0)[0]))):
+        if nxt[0].isupper() and (_is_given(nxt) == 2 or (_INITIAL.fullmatch(nxt) and NAME_BEFORE.search(_near(text, tokens[i].start(), 0)[0]))):
             k = 2
-            while i + k < n and _adjacent(text, tokens[i + k - 1], tokens[i + k]) and regex.fullmatch(r"\p{Lu}\.", tokens[i + k].group()):
+            while i + k < n and _adjacent(text, tokens[i + k - 1], tokens[i + k]) and _INITIAL.fullmatch(tokens[i + k].group()):
                 k += 1
             return k, 0.7
     given = 0 if initial else _is_given(word)
     if initial:
         k = 1
-        while i + k < n and _adjacent(text, tokens[i + k - 1], tokens[i + k]) and regex.fullmatch(r"\p{Lu}\.", tokens[i + k].group()):
+        while i + k < n and _adjacent(text, tokens[i + k - 1], tokens[i + k]) and _INITIAL.fullmatch(tokens[i + k].group()):
             k += 1
         if i + k < n and _adjacent(text, tokens[i + k - 1], tokens[i + k]):
             last = tokens[i + k].group()
-            if last[0].isupper() and len(last) >= 3:
+            if last[0].isupper() and len(last) >= 3 and last.lower() not in _COMMON:
                 return k + 1, 0.5
         return 0, 0.0
     # Given, initials, further given names, surname
@@ -267,7 +276,7 @@ def _take_name(text: str, tokens: list, i: int) -> tuple[int, float]:
     k = 1
     while i + k < n and _adjacent(text, tokens[i + k - 1], tokens[i + k]):
         nxt = tokens[i + k].group()
-        if regex.fullmatch(r"\p{Lu}\.", nxt):
+        if _INITIAL.fullmatch(nxt):
             if i + k + 1 < n and _adjacent(text, tokens[i + k], tokens[i + k + 1]) and tokens[i + k + 1].group()[0].isalpha():
                 k += 1
                 continue
@@ -280,7 +289,7 @@ def _take_name(text: str, tokens: list, i: int) -> tuple[int, float]:
         if nxt[0].islower() and len(nxt) >= 4 and nxt not in NO_SURNAME and nxt not in _COMMON and regex.match(r"\s*(?:$|\n|\p{Lu}|[<(;|,.])|\s+(?:wrote|told|said|asked|reported|and)\b", text[tokens[i + k].end() : tokens[i + k].end() + NEAR]):
             k += 1
         break
-    while k > 1 and regex.fullmatch(r"\p{Lu}\.", tokens[i + k - 1].group()):
+    while k > 1 and _INITIAL.fullmatch(tokens[i + k - 1].group()):
         k -= 1  # an initial without a surname is the end of a sentence
     if given == 2:
         return k, 0.75 if k > 1 else 0.55
@@ -288,7 +297,7 @@ def _take_name(text: str, tokens: list, i: int) -> tuple[int, float]:
 
 
 #: Words that begin sentences or follow names and are no parts of names.
-_COMMON = frozenset("según laut selon merci bitte contacter gracias danke the a an this that these those it in on at as if when while after before and or but so then we i you they he she could would please note such most some each no not does do did is are was were has have had let use see out setting removing reverting upgrading without both two item version error my our your thanks tel phone fax mail email regards best cheers contact reported row call ship mark grant chase clone build why what how there here from to by with for admission access pointer changes using notes cc re fwd ps also wait only just now such nothing docs compare tested last too".split())
+_COMMON = frozenset("box floor room unit flat reviewed committed change changes retrying operators packagers tenants users reviewers testers downstream our some last sorry ok hm each every many few several other more less please all any none nobody everybody something anything here según laut selon merci bitte contacter gracias danke the a an this that these those it in on at as if when while after before and or but so then we i you they he she could would please note such most some each no not does do did is are was were has have had let use see out setting removing reverting upgrading without both two item version error my our your thanks tel phone fax mail email regards best cheers contact reported row call ship mark grant chase clone build why what how there here from to by with for admission access pointer changes using notes cc re fwd ps also wait only just now such nothing docs compare tested last too".split())
 
 
 def find_pii(text: str | None) -> list[tuple[int, int, str]]:
