@@ -6,7 +6,8 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsing import log1
+from ..functions.parsing import author_org, log1
+from ..operators.reviews import review_features
 
 
 def _members(name: str, values: Column) -> Column:
@@ -25,10 +26,52 @@ def to_long(df: DataFrame, entity: str, numbers: dict[str, Column], categories:
     return df.select(entity, F.explode(F.concat(*parts)).alias("f")).select(entity, "f.feature", "f.value").filter("feature is not null and value is not null")
 
 
-def commit_features(commits: DataFrame) -> DataFrame:
-    """The features of ordered, joined commits: author, organisation, orders, files, size of the change, bugs."""
-    numbers = {"author_order": F.log("author_order"), "log_order": F.log("order"), "loc_add": log1(F.col("loc_add")), "loc_change": log1(F.col("loc_change")), "bugs": F.greatest(F.size("bugs"), F.lit(0))}
-    return to_long(commits, "cid", {k: v for k, v in numbers.items() if k != "loc_add" or "loc_add" in commits.columns}, {"author": F.col("author"), "committer": F.when(F.col("author") == F.col("committer"), "same").otherwise(F.col("committer"))}, {"includes_file": F.col("files")})
+METRICS = ("cc", "changes", "complexity", "lloc", "nodes")
+COUNTS = ("new_functions", "new_classes")
+
+
+def commit_features(commits: DataFrame, files: bool = True, committer: bool = True, order: bool = True) -> DataFrame:
+    """The features of ordered commits: author, organisation, committer or "same", orders, files, size of the change, blueprint and cherry marks.
+
+    Columns that ``commits`` lacks give no features.
+    """
+    have = set(commits.columns)
+
+    def col(name: str, made: Column) -> dict[str, Column]:
+        return {name: made} if name in have else {}
+
+    numbers = {**col("author_order", F.log("author_order")), **col("loc_add", log1(F.col("loc_add"))), **col("loc_change", log1(F.col("loc_change")))}
+    if order and "order" in have:
+        numbers["log_order"] = F.log("order")
+    if files and order and "file_order" in have:
+        numbers["log_min_file_order"] = F.log(F.array_min(F.map_values("file_order")))
+        numbers["log_max_file_order"] = F.log(F.array_max(F.map_values("file_order")))
+    if "bugs" in have:
+        numbers["bugs"] = F.greatest(F.size("bugs"), F.lit(0))
+    for mark in ("blueprint", "cherry_picked_from", "cherry_picked_to"):
+        if mark in have:
+            numbers[mark] = F.col(mark).isNotNull().cast("int")
+    categories = {**col("author", F.col("author")), **({"author_org": author_org(F.col("author"))} if "author" in have else {})}
+    if committer and {"author", "committer"} <= have:
+        categories["committer"] = F.when(F.col("author") == F.col("committer"), "same").otherwise(F.col("committer"))
+    return to_long(commits, "cid", numbers, categories, {"includes_file": F.col("files")} if files and "files" in have else None)
+
+
+def metric_features(files: DataFrame, cid: str = "cid", path: str = "path", tests: bool = True) -> DataFrame:
+    """Code metrics by file as features named ``path_metric``; sizes are logarithmic, counts are not."""
+    kept = files if tests else files.filter(~F.col(path).contains("test"))
+    have = [m for m in (*METRICS, *COUNTS) if m in files.columns]
+    cells = F.array(*[F.struct(F.concat(F.col(path), F.lit(f"_{m}")).alias("feature"), (log1(F.col(m)) if m in METRICS else F.col(m).cast("double")).alias("value")) for m in have])
+    return kept.select(cid, F.explode(cells).alias("f")).select(cid, "f.feature", "f.value").filter("value is not null")
+
+
+def review_long(commits: DataFrame, labels: str = "labels", messages: str = "messages") -> DataFrame:
+    """What reviews tell, in long form: marks, revisions, who approved, sum of votes and each reviewer's vote."""
+    code = F.try_element_at(labels, F.lit("Code-Review"))
+    seen = review_features(F.col(labels), F.col(messages))
+    base = to_long(commits, "cid", {"review_has_data": seen["has_data"].cast("int"), "review_revision": seen["revision"], "review_votes": F.when(seen["has_data"], seen["votes"])}, {"review_approved_code": seen["approved_code"], "review_approved_workflow": seen["approved_workflow"]})
+    votes = commits.select("cid", F.explode(F.filter(code["all"], lambda v: v.isNotNull() & v["name"].isNotNull())).alias("v"))
+    return base.unionByName(votes.groupBy("cid", F.concat(F.lit("reviewer_"), "v.name").alias("feature")).agg(F.max("v.value").cast("double").alias("value")).filter("value is not null"))
 
 
 def fit(long: DataFrame, entities: int | None = None, entity: str = "cid") -> DataFrame:

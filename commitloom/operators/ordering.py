@@ -23,13 +23,22 @@ def dense_order(df: DataFrame, by: list[str], name: str = "order", slices: int =
     return numbered.join(F.broadcast(starts), part).withColumn(name, (F.col("before") + F.col(local)).cast("bigint")).drop(part, local, "before")
 
 
-def order_within(df: DataFrame, keys: list[str], by: list[str], name: str) -> DataFrame:
-    """Adds 1..n by ``by`` within each key.
+def order_within(df: DataFrame, keys: list[str], by: list[str], name: str, slices: int = 200) -> DataFrame:
+    """Adds 1..n by ``by`` within each key; null keys are one key.
 
-    A key that holds a large part of all rows is one sorted stream in one task,
-    which spills but never sits in memory; the order itself demands it.
+    A key may hold a large part of all rows, so no key is sorted as a whole: rows
+    are parted into ranges of ``by``, numbered within key and range, and each
+    range goes on where the ranges before end for that key.
     """
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    part, local, before = (fresh(df.columns, n) for n in ("_part", "_local", "_before"))
+    ranged = cut(df.repartitionByRange(slices, *[F.col(b) for b in by]).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(k).alias(f"{k}_s") for k in keys], F.col(part).alias(f"{part}_s"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
+    numbered = ranged.withColumn(local, F.row_number().over(Window.partitionBy(*keys, part).orderBy(*by)))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_s")) for k in keys] + [F.col(part) == F.col(f"{part}_s")]
+    out = numbered.join(starts, same).withColumn(name, (F.col(before) + F.col(local)).cast("bigint"))
+    return out.drop(part, local, before, f"{part}_s", *[f"{k}_s" for k in keys])
 
 
 def order_range(df: DataFrame, order: str = "order", reachable: str | None = "reachable", cutoff: int | None = None, date: str = "date") -> DataFrame:

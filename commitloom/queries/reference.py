@@ -207,14 +207,14 @@ def commit_order(s, d):
 
 @query(_DATED + ' SELECT cid, row_number() OVER (PARTITION BY author ORDER BY "order") AS author_order FROM o')
 def author_order(s, d):
-    return ordering.order_within(_ordered(s, d), ["author"], ["order"], "author_order").select("cid", "author_order")
+    return ordering.order_within(_ordered(s, d), ["author"], ["order"], "author_order", 16).select("cid", "author_order")
 
 
 @query(_DATED + ', f AS (SELECT DISTINCT cid, "order", author, unnest(files) AS file FROM o) SELECT cid, file, row_number() OVER (PARTITION BY file ORDER BY "order") AS file_order, row_number() OVER (PARTITION BY file, author ORDER BY "order") AS file_order_for_author FROM f')
 def file_orders(s, d):
     f = _ordered(s, d).select("cid", "order", "author", F.explode("files").alias("file")).distinct()
-    f = ordering.order_within(f, ["file"], ["order"], "file_order")
-    return ordering.order_within(f, ["file", "author"], ["order"], "file_order_for_author").select("cid", "file", "file_order", "file_order_for_author")
+    f = ordering.order_within(f, ["file"], ["order"], "file_order", 16)
+    return ordering.order_within(f, ["file", "author"], ["order"], "file_order_for_author", 16).select("cid", "file", "file_order", "file_order_for_author")
 
 
 @query(_DATED + ' SELECT min("order") AS least, max("order") AS greatest FROM o WHERE committed_date > 1400000000')
@@ -696,7 +696,12 @@ def three_way_windows(s, d):
 
 
 # classification and Python sources ------------------------------------------
-@query()
+_FIXED = "status IN ('Fix Committed', 'Fix Released') AND importance IN ('Critical', 'High', 'Medium', 'Low')"
+_KINDS = f"{_CLOSURE}, {CB}, {_LINKS}, st AS (SELECT merge, count(DISTINCT change_id) AS changes FROM bb JOIN cur_c ON cid = node GROUP BY 1), nm AS (SELECT node, merge FROM (SELECT node, merge, row_number() OVER (PARTITION BY node ORDER BY depth, merge) AS k FROM bb) WHERE k = 1), br AS (SELECT merge, count(DISTINCT bug_id) AS bugs FROM nm JOIN lk ON cid = node GROUP BY 1), ql AS (SELECT cid, bug_id FROM lk JOIN cur_b ON id = bug_id WHERE {_FIXED}), kd AS (SELECT cid, CASE WHEN coalesce(len(parents), 0) = 0 THEN 'root' WHEN len(parents) = 1 AND cid IN (SELECT cid FROM ql) THEN 'fast_forward_fix' WHEN len(parents) = 1 AND change_id IS NOT NULL THEN 'fast_forward' WHEN len(parents) = 1 THEN 'unexplained' WHEN coalesce(changes, 0) = 0 AND coalesce(bugs_, 0) = 0 THEN 'empty_merge' WHEN changes = 1 THEN 'simple_merge' ELSE 'complex_merge' END AS kind FROM (SELECT c.cid, c.parents, c.change_id, st.changes, br.bugs AS bugs_ FROM cur_c c LEFT JOIN st ON st.merge = c.cid LEFT JOIN br ON br.merge = c.cid WHERE c.on_master_branch))"
+_WALK = "fp AS (SELECT cid, parents[1] AS up, coalesce(on_master_branch, false) AS main FROM cur_c), wk AS (SELECT cid AS node, cid AS here, 0 AS distance FROM fp UNION SELECT w.node, f.up, w.distance + 1 FROM wk w JOIN fp f ON f.cid = w.here WHERE NOT f.main AND f.up IN (SELECT cid FROM fp) AND w.distance < 2000), an AS (SELECT node, here AS stop FROM wk JOIN fp f ON f.cid = wk.here WHERE f.main)"
+
+
+@query(f"WITH RECURSIVE {_KINDS} SELECT cid, kind FROM kd")
 def commit_kinds(s, d):
     c = commits(s, d)
     links = joins.commit_bug_links(c, bugs(s, d))
@@ -707,7 +712,7 @@ def commit_kinds(s, d):
     return bugfix.classify(c.filter("on_master_branch"), stats.join(brought, "merge", "left"), fixes)
 
 
-@query()
+@query(f"WITH RECURSIVE {_KINDS}, {_WALK}, bt AS (SELECT DISTINCT merge, node, bug_id FROM bb JOIN ql ON ql.cid = node) SELECT k.cid, k.cid AS diff_commit, c.parents[1] AS blame_commit, kind, bug_id FROM kd k JOIN cur_c c USING (cid) JOIN ql USING (cid) WHERE kind = 'fast_forward_fix' UNION ALL SELECT k.cid, c.parents[2], an.stop, kind, b.bug_id FROM kd k JOIN cur_c c USING (cid) JOIN (SELECT DISTINCT merge, bug_id FROM bt) b ON b.merge = k.cid LEFT JOIN an ON an.node = c.parents[2] WHERE kind = 'simple_merge' UNION ALL SELECT k.cid, b.node, n.parents[1], kind, b.bug_id FROM kd k JOIN bt b ON b.merge = k.cid JOIN cur_c n ON n.cid = b.node WHERE kind = 'complex_merge'")
 def fix_comparisons(s, d):
     c = commits(s, d)
     b = bugs(s, d)
@@ -749,3 +754,44 @@ def python_changes(s, d):
 def raw_change_records(s, d):
     raw = table(s, d, "raw_lines").filter("line is not null")
     return jsonl.parse_records(raw, "line", "change_id string, _number int").select("change_id", "_number", "json_key")
+
+
+# models on time-ordered windows ---------------------------------------------
+def _labelled(s, d):
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(s, d, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), (F.col("label") >= 5).cast("int").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+
+
+def _plan(s, d, iterations=2):
+    return win.plan(s, table(s, d, "embeddings").count(), 300, 100, iterations, seed=7)
+
+
+@query()
+def model_window_scores(s, d):
+    """Logistic regression trained on history, applied to the future."""
+    from ..ml import experiments
+
+    return experiments.window_scores(_labelled(s, d), _plan(s, d), "logistic").select("clf", "iter", "row_id", "y", r6("p1"))
+
+
+@query()
+def model_comparison(s, d):
+    """Mean and deviation of F1 of several classifiers over the same windows."""
+    from ..ml import experiments
+
+    data, plan = _labelled(s, d), _plan(s, d)
+    out = None
+    for name in ("logistic", "tree", "forest", "bayes"):
+        one = ev.summarise(experiments.evaluate_windows(experiments.window_scores(data, plan, name)), ["clf"])
+        out = one if out is None else out.unionAll(one)
+    return out.select("clf", r6("mean"), r6("std"), "tp", "fp", "fn", "tn")
+
+
+@query()
+def model_boosted_stumps(s, d):
+    from ..ml import models
+
+    data = _labelled(s, d)
+    return models.boosted_scores(models.boost(data, 5), data, ["row_id", "label"]).select("row_id", "label", r6("p1"))

@@ -60,3 +60,28 @@ def test_network_learns():
     net = network.Network([4, 16, 2], rate=0.01, drop_hidden=0.2, class_weights=(1.0, 1.0))
     best = network.train(net, x[:300], y[:300], x[300:], y[300:], rounds=30, batch=64)
     assert best["f1"] > 0.85 and len(network.bias_sweep(net, x[300:], y[300:])) == 10
+
+
+def test_experiments(spark):
+    from commitloom.ml import experiments
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    df = spark.createDataFrame([(i, int(v[0] > 0), Vectors.dense(v)) for i, v in enumerate(x)], ["row_id", "label", "features"]).cache()
+    plan = windows.plan(spark, 300, 150, 60, 2, seed=4)
+    scored = experiments.window_scores(df, plan, "tree")
+    assert scored.count() == 120 and scored.filter("abs(p0 + p1 - 1) > 1e-9").count() == 0
+    assert all(r.f1 > 0.9 for r in experiments.evaluate_windows(scored).collect())
+    one = experiments.window_scores(df.withColumn("label", F.lit(0)), plan, "tree")
+    assert {r.p1 for r in one.collect()} == {0.0}
+    swept = experiments.parameter_sweep(df, plan, "logistic", [0.001, 1.0], lambda v, n: models.classifier("logistic", n, c=v))
+    assert experiments.best_value(swept).first().value in (0.001, 1.0)
+    assert experiments.curve(df, 300, "bayes", [100], [30, 60], 1).count() == 2
+
+
+def test_more_features(spark):
+    df = spark.createDataFrame([("a", '<git.Actor "A <a@b.c>">', "x", {"f": 2, "g": 8}, ["f"], None)], "cid string, author string, committer string, file_order map<string,int>, files array<string>, blueprint string")
+    got = {r.feature: r.value for r in features.commit_features(df.withColumn("order", F.lit(1))).collect()}
+    assert got["author_org=b.c"] == 1 and got["blueprint"] == 0 and abs(got["log_max_file_order"] - np.log(8)) < 1e-9 and got["includes_file_f"] == 1
+    m = spark.createDataFrame([("a", "x.py", 3, 1), ("a", "tests/y.py", 1, 0)], "cid string, path string, cc int, new_functions int")
+    assert {r.feature for r in features.metric_features(m, tests=False).collect()} == {"x.py_cc", "x.py_new_functions"}
