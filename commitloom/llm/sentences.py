@@ -174,9 +174,9 @@ def _breaks_after(text: str, start: int, mark: str, at: int, nxt: int, end: int)
     if "…" in mark or "⋯" in mark:
         if AFTER_ELLIPSIS.match(text, nxt):
             return False
-        if mark.count("…") < 2 and WIDE.match(after):
+        if len(mark) < 2 and WIDE.match(after):
             return False
-        return not after.islower()
+        return not after.islower() or (len(mark) > 1 and at > start and WIDE.match(text[at - 1]) is not None)
     if glued and not (WIDE.match(after) or _BEGINS.match(after) and not mark.isascii()):
         return after in "¿¡" or _CASELESS.match(after) is not None
     if glued and mark.isascii() and not WIDE.match(after):

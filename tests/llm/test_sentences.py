@@ -15,7 +15,7 @@ CASES = [
     ["هل يمكن لأحد إعادة إنتاج الخطأ على 1.4.10؟", "كتب د. Marchetto أن الذاكرة ممتلئة.", "يستغرق الرد 34.16 ثانية!"],
 ]
 GLUED = [
-    ["“重启过吗？”“重启过。”两人都这样写。", "他说：“我这里没有问题。”然后就关闭了工单。", "（详见 host/a.conf。）", "这个改动影响两处（b，见图 268。），其余不变。", "日志里什么都没有……", "版本 3.2.11 没有问题……但是 4.12.10 不行。", "怎么办？！", "有人能重现吗？"],
+    ["“重启过吗？”“重启过。”两人都这样写。", "他说：“我这里没有问题。”然后就关闭了工单。", "（详见 host/a.conf。）", "这个改动影响两处（b，见图 268。），其余不变。", "日志里什么都没有……", "users 说：没有问题……但是不行。", "日志里什么都没有……", "版本 3.2.11 没有问题……但是 4.12.10 不行。", "怎么办？！", "有人能重现吗？"],
     ["「こちらでは動いています。」と返事が来ました。", "（詳細は a.conf を参照。）", "え、1.4.2 でもだめですか？！", "しばらく待つと…直ることもあります。", "A の設定（b.py、24 行目。）を確認してください。"],
 ]
 
