@@ -232,6 +232,12 @@ def legacy_cutoff(s, d):
     return bugfix.legacy_cutoff(commits(s, d).filter("on_master_branch"), F.col("change_id").isNotNull(), F.col("committed_date"))
 
 
+@query(_DATED + ', lo AS (SELECT committed_date AS d FROM o WHERE "order" = 50), hi AS (SELECT committed_date AS d FROM o WHERE "order" = 500), t AS (SELECT o.cid, o.committed_date FROM o JOIN cur_c c USING (cid) WHERE c.on_master_branch) SELECT count(*) AS fixes FROM t, lo, hi WHERE committed_date >= greatest(lo.d, 1350000000) AND committed_date <= hi.d')
+def bug_fix_count(s, d):
+    rows = _ordered(s, d).withColumn("tagged_bug_fix", F.coalesce("on_master_branch", F.lit(False))).withColumnRenamed("committed_date", "date")
+    return bugfix.count_fixes(rows, 50, 500, 1_350_000_000)
+
+
 # parsing --------------------------------------------------------------------
 @query(f"WITH {CC} SELECT cid, trim(regexp_extract(committer, '(?s)\"(.*)<[^<>]*>', 1)) AS name, trim(regexp_extract(committer, '(?s)\".*<([^<>]*)>', 1)) AS email FROM cur_c WHERE regexp_matches(committer, '(?s)\".*<[^<>]*>')")
 def parse_actor(s, d):
@@ -619,6 +625,19 @@ def ensemble_average(s, d):
     return ev.ensemble(both, ["row_id"], offset=-0.2).select("row_id", r6("p_net"), F.col("classifiers").cast("int").alias("classifiers"))
 
 
+@query(f"WITH {_PRED}, a AS (SELECT row_id, 'x' AS clf, y, p1 FROM pr UNION ALL SELECT row_id, 'z', y, p1 / 2 FROM pr) SELECT row_id, max(y) AS y, round(max(CASE WHEN clf = 'x' THEN p1 END), 6) AS x, round(1 - max(CASE WHEN clf = 'x' THEN p1 END), 6) AS x_not, round(max(CASE WHEN clf = 'z' THEN p1 END), 6) AS z, round(1 - max(CASE WHEN clf = 'z' THEN p1 END), 6) AS z_not FROM a GROUP BY 1".replace("/ 1000.0", "/ cast(1000 AS DOUBLE)"))
+def stacked_outputs(s, d):
+    p = _predictions(s, d)
+    both = p.withColumn("clf", F.lit("x")).unionAll(p.withColumn("clf", F.lit("z")).withColumn("p1", F.col("p1") / 2))
+    return ev.stack_outputs(both, ["row_id"], ["x", "z"]).select("row_id", "y", *[r6(c) for c in ("x", "x_not", "z", "z_not")])
+
+
+@query(f"WITH {_NET}, f AS (SELECT clf, round(threshold, 3) AS threshold, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM sw) SELECT clf, threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY clf ORDER BY f1 DESC NULLS LAST, threshold) AS k FROM f WHERE f1 IS NOT NULL) WHERE k = 1".replace("i * 0.025", "cast(i AS DOUBLE) * cast(0.025 AS DOUBLE)").replace("/ 1000.0", "/ cast(1000 AS DOUBLE)"))
+def best_thresholds(s, d):
+    swept = _sweep(s, d).withColumn("threshold", F.round("threshold", 3)).withColumn("f1", F.round("f1", 9))
+    return ev.best_threshold(swept, ["clf"]).select("clf", "threshold", r6("f1"))
+
+
 @query("SELECT min(t) AS threshold FROM (SELECT o_totalprice AS t FROM orders WHERE o_totalprice > 0 ORDER BY o_totalprice DESC LIMIT 100)")
 def threshold_pick(s, d):
     return ev.kth_largest(table(s, d, "orders"), "o_totalprice", 100)

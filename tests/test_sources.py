@@ -60,6 +60,24 @@ def test_git_blame_and_diffs(spark, repository):
     assert {r.path for r in git.diffs(pairs, repository).collect()} == {"a.py", "b.txt", "c d.sh"}
 
 
+def test_from_a_fix_to_the_commits_it_replaced(spark, repository):
+    from commitloom.operators import blame, guilt
+
+    commits = {r.msg.split("\n")[0]: r.cid for r in git.read_commits(spark, repository).collect()}
+    pairs = spark.createDataFrame([(commits["Side"], commits["Fixes bug 12345"])] * 2, "diff_commit string, blame_commit string")
+    lines = blame.blame_of_fixes(pairs, repository, 1).cache()
+    assert {(r.lineno, r.commit) for r in lines.collect()} == {(2, commits["Fixes bug 12345"]), (3, commits["First"]), (4, commits["Fixes bug 12345"])}
+    shares = {r.commit: r.guilt for r in guilt.normalised(lines, ["diff_commit"], "commit").collect()}
+    assert abs(shares[commits["First"]] - 1 / 3) < 1e-9
+    samples = spark.createDataFrame([(commits["Side"],)], "node string")
+    assert {r.cid for r in blame.reachable_from(samples, repository).collect()} == {commits["First"], commits["Fixes bug 12345"]}
+    old, new = "a = 1\nb = 2\nc = 3\n", "a = 1\nb = 9\nc = 3\n"
+    trees = spark.createDataFrame([("x", "y", "a.py", old, new)], "diff_commit string, blame_commit string, path string, source_parent string, source_new string")
+    found = blame.changed_tree_lines(trees)
+    assert [(r.lineno, r.proximity) for r in found.collect()] == [(2, 1)]
+    assert [r.status for r in blame.blame_status(found, spark.createDataFrame([("y", "a.py", "error")], "at string, path string, status string")).collect()] == ["error"]
+
+
 def test_json_lines(spark, tmp_path):
     lines = [json.dumps({"a": 1, "json_key": "k1"}), json.dumps({"json_key": "k2", "json_tombstone": True}), "{broken", ""]
     for name in ("x.jsonz", "x.json"):
