@@ -87,9 +87,9 @@ def proximity_guilt(s, d):
     return guilt.normalised(lines(s, d), ["l_orderkey"], "l_suppkey", guilt.proximity_weight(F.col("l_linenumber"))).select("l_orderkey", "l_suppkey", r6("guilt"))
 
 
-@query("SELECT l_orderkey, l_partkey, round(sum(1.0 / l_linenumber) / sum(sum(1.0 / l_linenumber)) OVER (PARTITION BY l_orderkey), 6) AS share FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_orderkey, l_partkey, round(sum(1.0 / l_linenumber) / sum(sum(1.0 / l_linenumber)) OVER (PARTITION BY l_orderkey), 9) AS share FROM lineitem GROUP BY 1, 2")
 def guilt_share_by_file(s, d):
-    return guilt.by_file(lines(s, d), ["l_orderkey"], "l_partkey", guilt.proximity_weight(F.col("l_linenumber"), exponential=False)).select("l_orderkey", "l_partkey", r6("share"))
+    return guilt.by_file(lines(s, d), ["l_orderkey"], "l_partkey", guilt.proximity_weight(F.col("l_linenumber"), exponential=False)).select("l_orderkey", "l_partkey", F.round("share", 9).alias("share"))
 
 
 _SHARES = f"sh AS (SELECT l_orderkey, l_suppkey, count(*) / sum(count(*)) OVER (PARTITION BY l_orderkey) AS g FROM lineitem GROUP BY 1, 2), im AS (SELECT o_orderkey AS l_orderkey, {IMP} AS importance FROM orders), sr AS (SELECT l_suppkey, importance, g FROM sh JOIN im USING (l_orderkey))"
