@@ -232,7 +232,7 @@ def legacy_cutoff(s, d):
     return bugfix.legacy_cutoff(commits(s, d).filter("on_master_branch"), F.col("change_id").isNotNull(), F.col("committed_date"))
 
 
-@query(_DATED + ', lo AS (SELECT committed_date AS d FROM o WHERE "order" = 50), hi AS (SELECT committed_date AS d FROM o WHERE "order" = 500), t AS (SELECT o.cid, o.committed_date FROM o JOIN cur_c c USING (cid) WHERE c.on_master_branch) SELECT count(*) AS fixes FROM t, lo, hi WHERE committed_date >= greatest(lo.d, 1350000000) AND committed_date <= hi.d')
+@query(_DATED + ', lo AS (SELECT max(committed_date) AS d FROM o WHERE "order" = 50), hi AS (SELECT max(committed_date) AS d FROM o WHERE "order" = 500), t AS (SELECT o.cid, o.committed_date FROM o JOIN cur_c c USING (cid) WHERE c.on_master_branch) SELECT count(*) AS fixes FROM t, lo, hi WHERE committed_date >= greatest(coalesce(lo.d, 1350000000), 1350000000) AND (hi.d IS NULL OR committed_date <= hi.d)')
 def bug_fix_count(s, d):
     rows = _ordered(s, d).withColumn("tagged_bug_fix", F.coalesce("on_master_branch", F.lit(False))).withColumnRenamed("committed_date", "date")
     return bugfix.count_fixes(rows, 50, 500, 1_350_000_000)
