@@ -56,7 +56,8 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, total_
     ``max_repeats`` of its source.  The last document that is drawn is the one
     that brings the source closest to its tokens, so a source misses its target
     by at most half a document.  The same input, parameters and seed give the
-    same mixture; documents with equal ids are told apart by their tokens only.
+    same mixture.  Rows of one id are one document (the longest of them), rows
+    without id are none.
 
     A source may hold most of the documents: its ranking is never sorted as a
     whole.  The tokens of fixed slices of it are summed first, and only the
@@ -66,7 +67,8 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, total_
     slim = documents.filter(F.col("source").isNotNull())
     counted = count_tokens(slim, ["doc_id", "source", *extra], path=path)
     weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    sizes = cut(counted.select("doc_id", "source", "n_tokens", weight.alias("w")))
+    once = counted.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source", weight.alias("w"))).alias("d"))
+    sizes = cut(once.select("doc_id", "d.source", "d.n_tokens", "d.w"))
     goals = cut(plan(sizes, targets, total_tokens))
     mass = sizes.groupBy("source").agg(F.sum(F.col("w") * F.col("n_tokens")).alias("mass"), F.max("w").alias("w_max"))
     per_source = goals.join(mass, "source").select("source", "wanted", "max_repeats", "mass")

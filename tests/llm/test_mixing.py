@@ -49,9 +49,9 @@ def test_given_total_and_weights(spark):
 
 
 def test_empty_and_odd(spark):
-    docs = spark.createDataFrame([(1, "a", None, 1), (2, "a", "", 1), (3, None, "x", 1), (4, "a", "one two", 1), (4, "a", "one two", 1)], "doc_id bigint, source string, text string, copies int")
+    docs = spark.createDataFrame([(1, "a", None, 1), (2, "a", "", 1), (3, None, "x", 1), (4, "a", "one two", 1), (4, "a", "one two", 1), (None, "a", "x", 1)], "doc_id bigint, source string, text string, copies int")
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
-    assert sorted(r.doc_id for r in mix(docs, targets).collect()) == [4, 4]
+    assert sorted(r.doc_id for r in mix(docs, targets).collect()) == [4]
     assert mix(docs.limit(0), targets).count() == 0 == mix(docs, targets.limit(0)).count()
     assert plan(docs.selectExpr("source", "0L as n_tokens"), targets).first().wanted == 0
 
