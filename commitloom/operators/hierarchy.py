@@ -88,6 +88,11 @@ def descendants(tree: DataFrame) -> DataFrame:
     return pairs.filter(F.col("level") < F.col("depth")).select("ancestor", "descendant", (F.col("depth") - F.col("level")).alias("distance"))
 
 
-def compare_recorded(tree: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Nodes with the depth below the mainline that an older run recorded, next to the tree's own depth."""
-    return tree.join(recorded, "node", "left")
+
+def contradicted(tree: DataFrame, recorded: DataFrame) -> DataFrame:
+    """``node, depth, recorded``: nodes of trees whose recorded distance to the mainline is not the true one.
+
+    ``recorded`` has ``node, recorded, actual``; unknown (null) distances contradict nothing.
+    """
+    side = tree.filter("depth >= 0").join(recorded.filter("recorded is not null and actual is not null and recorded <> actual"), "node")
+    return side.select("node", "depth", "recorded")

@@ -21,12 +21,13 @@ def commit_bug_links(commits: DataFrame, bugs: DataFrame) -> DataFrame:
 
 
 def join_with_bugs(commits: DataFrame, bugs: DataFrame) -> DataFrame:
-    """Commits with a column ``bug_details``: the linked bugs, sorted by id; empty if none.
+    """Commits with a column ``bug_details``: the linked bugs, sorted by id; null if none.
 
     The bugs of one commit are collected, which its own lists bound.
     """
     details = commit_bug_links(commits, bugs).join(bugs.withColumnRenamed("id", "bug_id"), "bug_id")
-    packed = details.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("bug_id", "importance", "status", "heat", "security_related", F.size(F.coalesce("cves", F.array())).alias("n_cves"), F.size(F.coalesce("messages", F.expr("cast(array() as array<string>)"))).alias("n_messages")) if "messages" not in bugs.columns else F.struct("bug_id", "importance", "status", "heat", "security_related", F.greatest(F.size("cves"), F.lit(0)).alias("n_cves"), F.greatest(F.size("messages"), F.lit(0)).alias("n_messages")))).alias("bug_details"))
+    kept = F.struct("bug_id", "importance", "status", "heat", "security_related", F.greatest(F.size("cves"), F.lit(0)).alias("n_cves"), F.greatest(F.size("messages"), F.lit(0)).alias("n_messages"))
+    packed = details.groupBy("cid").agg(F.array_sort(F.collect_list(kept)).alias("bug_details"))
     return commits.join(packed, "cid", "left")
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import commit_links, descendants, hierarchy
+from ..operators.graph import walk_to
+from ..operators.hierarchy import commit_links, contradicted, descendants, hierarchy
 from ..operators.nested import flatten_json
 from ..operators.orphans import orphan_report, repository_orphans
 from ..runtime import current_rows, table, undeleted
@@ -87,12 +88,13 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_recorded(spark: SparkSession, d: str) -> DataFrame:
-    """Mainline distances recorded by an earlier run that the links contradict."""
+    """Distances to the mainline recorded by an earlier run that the links contradict."""
     commits = table(spark, d, "commits")
-    tree = hierarchy(commit_links(commits))
-    slim = undeleted(current_rows(commits.select("cid", "on_master_branch", F.col("distance_from_mainline").alias("recorded"), "ingested_at", "tombstone"), ["cid"]))
-    side = tree.join(slim.select(F.col("cid").alias("node"), "on_master_branch", "recorded"), "node")
-    return side.filter(F.col("recorded").isNotNull() & F.col("on_master_branch") & (F.col("recorded") != 0) & (F.col("depth") >= 0)).select(F.col("node").alias("cid"), "depth", "recorded")
+    now = undeleted(current_rows(commits.select("cid", "on_master_branch", F.col("distance_from_mainline").alias("recorded"), "ingested_at", "tombstone"), ["cid"]))
+    links = commit_links(commits)
+    actual = walk_to(links, now.filter("on_master_branch").select(F.col("cid").alias("node"))).select("node", F.col("distance").alias("actual"))
+    recorded = now.filter("recorded <> 1000000").select(F.col("cid").alias("node"), "recorded").join(actual, "node")
+    return contradicted(hierarchy(links), recorded).select(F.col("node").alias("cid"), "depth", "recorded")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_typed_tables, p1_links, p1_votes, p1_replies, p2_found, p2_reasons, p2_by_month, p4_found, p4_paths, p4_descendants, p4_recorded)}

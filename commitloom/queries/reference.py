@@ -366,7 +366,7 @@ def vote_summary(s, d):
     return details(s, d).select("_number", reviews.vote_sum(code).alias("votes"), F.greatest(F.size(reviews.cast_votes(code)), F.lit(0)).alias("cast_votes"), reviews.max_revision(F.col("messages")).alias("revision"), code["approved"]["name"].alias("approved"))
 
 
-@query(f"WITH {CD}, l AS (SELECT _number, unnest(map_keys(labels)) AS label FROM cur_d) SELECT _number, label FROM l WHERE label IN ('Workflow', 'Verified', 'Code-Review') AND label IN ('Workflow', 'Verified') UNION ALL SELECT _number, label FROM l WHERE label = 'Code-Review'")
+@query(f"WITH {CD}, l AS (SELECT _number, unnest(map_keys(labels)) AS label FROM cur_d) SELECT _number, label FROM l WHERE label IN ('Workflow', 'Verified', 'Code-Review')")
 def kept_labels(s, d):
     return details(s, d).select("_number", F.explode(F.map_keys(F.map_filter("labels", lambda k, v: k.isin("Workflow", "Verified", "Code-Review")))).alias("label"))
 
