@@ -278,8 +278,7 @@ def parse_blueprint(s, d):
 
 @query(f"WITH {CC}, m AS (SELECT cid, on_master_branch, 'Fix it' || chr(10) || '(cherry picked from commit ' || lower(parents[1]) || ')' AS t FROM cur_c), p AS (SELECT cid, regexp_extract(t, '\\(cherry picked from commit ([a-f0-9]{{40}})', 1) AS f FROM m WHERE on_master_branch) SELECT DISTINCT cid, f AS picked_from FROM p WHERE f IN (SELECT cid FROM cur_c)")
 def cherry_links(s, d):
-    text = F.concat(F.lit("Fix it\n(cherry picked from commit "), F.lower(F.try_element_at("parents", F.lit(1))), F.lit(")"))
-    return joins.cherry_picks(commits(s, d).withColumn("msg", text))
+    return joins.cherry_picks(commits(s, d))
 
 
 @query(f"WITH {CC}, f AS (SELECT DISTINCT cid, unnest(unfiltered_files) AS path FROM cur_c) SELECT cid, path, NOT starts_with(path, 'tools/') AND (" + " OR ".join(f"ends_with(path, '{x}')" for x in K.INCLUDE_SUFFIXES) + ") AS kept FROM f")
