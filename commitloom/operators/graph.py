@@ -60,21 +60,30 @@ def mainline(links: DataFrame, heads: DataFrame) -> DataFrame:
         reach = cut(reach.join(up, "parent").select("node", F.col("p2").alias("parent"), (F.col("step") + F.col("s2")).alias("step")))
 
 
-def branch_closure(merges: DataFrame, parents: DataFrame, main: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def branch_closure(merges: DataFrame, parents: DataFrame, main: DataFrame) -> DataFrame:
     """``merge, node, depth``: the commits that a merge brought in, with their greatest distance from it (1 for its second parent).
 
     ``merges`` has ``merge, node`` (the second parent), ``parents`` has ``child,
-    parent``, ``main`` has ``node``.  The frontier is distinct per merge, so
-    diamonds cost no more than chains; depth is that of the longest path.
+    parent``, ``main`` has ``node``.  Side branches of any length are walked to
+    their end: the reach doubles each round, so the rounds are the logarithm of
+    the longest path.  Rows are distinct per merge and node, so diamonds cost no
+    more than chains; depth is that of the longest path, and null on and below
+    cycles, where paths have no end.
     """
-    off = parents.join(main.select(F.col("node").alias("parent")).distinct(), "parent", "left_anti").select(F.col("child").alias("node"), "parent")
-    frontier = cut(merges.select("merge", "node").join(main.select("node").distinct(), "node", "left_anti").distinct().withColumn("depth", F.lit(1)))
-    found, depth = [frontier], 1
-    while depth < max_depth and frontier.limit(1).count():
-        depth += 1
-        frontier = cut(frontier.join(off, "node").select("merge", F.col("parent").alias("node")).distinct().withColumn("depth", F.lit(depth)))
-        found.append(frontier)
-    return reduce(DataFrame.unionByName, found).groupBy("merge", "node").agg(F.max("depth").alias("depth"))
+    marks = main.select("node").distinct()
+    sides = parents.join(marks.withColumnRenamed("node", "parent"), "parent", "left_anti").join(marks.withColumnRenamed("node", "child"), "child", "left_anti")
+    reach = cut(sides.select(F.col("child").alias("node"), "parent").distinct())  # pairs that are exactly ``step`` links apart
+    found, step = cut(merges.select("merge", "node").join(marks, "node", "left_anti").distinct().withColumn("depth", F.lit(1))), 1  # paths of fewer than ``step`` links
+    while True:
+        nodes = found.select("node").distinct().count()
+        if step > 2 * nodes:  # no path without a cycle has as many links as there are nodes, every cycle has gone round by now
+            return found.withColumn("depth", F.when(F.col("depth") <= nodes, F.col("depth")))
+        further = cut(found.join(reach, "node").groupBy("merge", F.col("parent").alias("node")).agg((F.max("depth") + step).alias("depth")))
+        if not further.limit(1).count():
+            return found
+        found = cut(found.unionByName(further).groupBy("merge", "node").agg(F.max("depth").alias("depth")))
+        up = reach.select(F.col("node").alias("parent"), F.col("parent").alias("p2"))
+        reach, step = cut(reach.join(up, "parent").select("node", F.col("p2").alias("parent")).distinct()), 2 * step
 
 
 def closure_summary(closure: DataFrame, commits: DataFrame) -> DataFrame:
@@ -128,8 +137,8 @@ def actor_aliases(actors: DataFrame, name: str = "name", email: str = "email", a
 
 
 def nearest_mainline(closure: DataFrame) -> DataFrame:
-    """``node, merge``: the merge that brought a side commit in at the least depth."""
-    w = Window.partitionBy("node").orderBy("depth", "merge")
+    """``node, merge``: the merge that brought a side commit in at the least depth (one without end comes last)."""
+    w = Window.partitionBy("node").orderBy(F.col("depth").asc_nulls_last(), "merge")
     return closure.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("node", "merge")
 
 

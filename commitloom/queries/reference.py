@@ -468,7 +468,7 @@ def _closure(s, d):
     c = commits(s, d)
     merges = c.filter("on_master_branch and size(parents) >= 2").select(F.col("cid").alias("merge"), F.try_element_at("parents", F.lit(2)).alias("node")).filter("node is not null")
     edges = c.select(F.col("cid").alias("child"), F.explode("parents").alias("parent")).filter("parent is not null")
-    return graph.branch_closure(merges, edges, c.filter("on_master_branch").select(F.col("cid").alias("node")), 300)
+    return graph.branch_closure(merges, edges, c.filter("on_master_branch").select(F.col("cid").alias("node")))
 
 
 _CLOSURE = f"{CC}, {_EDGES}, bc AS (SELECT cid AS merge, parents[2] AS node, 1 AS depth FROM cur_c WHERE on_master_branch AND len(parents) >= 2 AND parents[2] IS NOT NULL AND parents[2] NOT IN (SELECT cid FROM cur_c WHERE on_master_branch) UNION SELECT b.merge, o.parent, b.depth + 1 FROM bc b JOIN off o ON o.child = b.node WHERE b.depth < 300), bb AS (SELECT merge, node, max(depth) AS depth FROM bc GROUP BY 1, 2)"
