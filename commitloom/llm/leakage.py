@@ -4,8 +4,8 @@ Both sides are folded to letters and digits.  Documents keep the least k-gram
 hash of every window of w hashes, items keep all of theirs, so every span of
 w + k - 1 folded characters that both share gives at least one common
 fingerprint.  Fingerprints that many items share (stock sentences, exam
-phrases) prove nothing and make no candidates.  Each candidate is then checked
-exactly: runs of common words are extended over slight changes to stretches,
+phrases, copies of an item) make candidates as any other, else items made of
+them would be found nowhere.  Each candidate is then checked exactly: runs of common words are extended over slight changes to stretches,
 and the best one or two stretches, in the item's order, must carry the wanted
 part of the item.
 """
@@ -151,8 +151,8 @@ def carried(doc: list[str], item: list[str]) -> float:
     return (top[1] + second) / total if top[0] >= 6 else 0.0
 
 
-def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str = "item_text") -> DataFrame:
-    """``item_id, h``: the fingerprints of each item that are no stock of the items."""
+def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str = "item_text", stock: int | None = STOCK_ITEMS) -> DataFrame:
+    """``item_id, h``: the fingerprints of each item that are no stock of the items (with ``stock`` null, all of them)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -161,7 +161,9 @@ def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str =
 
     slim = items.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
     prints = slim.mapInPandas(run, "item_id bigint, h bigint").distinct()
-    rare = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= STOCK_ITEMS).select("h")
+    if stock is None:
+        return prints
+    rare = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= stock).select("h")
     return prints.join(rare, "h")
 
 
@@ -175,7 +177,7 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     filtered for where documents are read as long as they are at most
     ``filter_limit``, and joined by shuffling beyond that.
     """
-    prints = cut(item_fingerprints(items))
+    prints = cut(item_fingerprints(items, stock=None))
     size = prints.select("h").distinct().limit(filter_limit + 1).count()
     known = documents.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in prints.select("h").distinct().collect()], np.int64))) if size <= filter_limit else None
 
