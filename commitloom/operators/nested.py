@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import complete, last_of_keys
+
 #: Bytes that are indexed at once; a longer text is indexed alone.
 CHUNK_BYTES = 1 << 20
+#: Characters after which a batch of rows is handed on.
+BATCH_CHARS = 1 << 25
 
 OPEN_OBJECT, CLOSE_OBJECT, OPEN_ARRAY, CLOSE_ARRAY, COLON, COMMA = 1, 2, 3, 4, 5, 6
 _CLASS = np.zeros(256, np.int8)
@@ -29,36 +33,6 @@ SCHEMA = "parent_key string, child_path string, parent_path string, field string
 _ARROW = pa.schema([("parent_key", pa.string()), ("child_path", pa.string()), ("parent_path", pa.string()), ("field", pa.string()), ("name", pa.string()), ("pos", pa.int32()), ("depth", pa.int32()), ("json", pa.string())])
 
 
-class _Repeated(Exception):
-    """An object has a key twice."""
-
-
-def _pairs(pairs: list) -> dict:
-    out = dict(pairs)
-    if len(out) != len(pairs):
-        raise _Repeated
-    return out
-
-
-def _no_constant(text: str) -> None:
-    raise ValueError(text)
-
-
-def complete(text: str | bytes) -> bool | None:
-    """Whether ``text`` is complete, strict JSON; None if it is, with a repeated key."""
-    try:
-        json.loads(text, object_pairs_hook=_pairs, parse_constant=_no_constant)
-        return True
-    except _Repeated:
-        try:
-            json.loads(text, parse_constant=_no_constant)
-            return None
-        except (ValueError, RecursionError):
-            return False
-    except (ValueError, RecursionError):
-        return False
-
-
 def _index(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict:
     """The structural index of texts that lie side by side in ``buf``."""
     n, docs = len(buf), len(starts)
@@ -109,7 +83,7 @@ def _spans(texts: list[bytes], keys: list, prefixes: list[str | None], fields: f
         for i in np.flatnonzero(good):
             whole = complete(texts[i])
             if whole is None:  # of a repeated key the last counts
-                again.append((json.dumps(json.loads(texts[i])).encode(), keys[i], prefixes[i]))
+                again.append((last_of_keys(texts[i].decode()).encode(), keys[i], prefixes[i]))
             good[i] = whole is True
     keep = good[ix["doc"]]
     tok, kind, doc, depth, opens, closes = (ix[k][keep] for k in ("tok", "kind", "doc", "depth", "opens", "closes"))
@@ -160,8 +134,10 @@ def _spans(texts: list[bytes], keys: list, prefixes: list[str | None], fields: f
     for i in np.flatnonzero((cdepth == 1) & ~top[cdoc]):
         path[i] = prefixes[cdoc[i]]
         above[i] = prefixes[cdoc[i]].rpartition("/")[0] or None  # refined by the caller's rows, see _emit
+    by_depth = np.argsort(cdepth, kind="stable")
+    level = np.searchsorted(cdepth[by_depth], np.arange(int(cdepth.max()) + 2))
     for d in range(2, int(cdepth.max()) + 1):
-        at = np.flatnonzero(cdepth == d)
+        at = by_depth[level[d] : level[d + 1]]
         p = parent[at]
         live = np.array([x is not None for x in path[p]], bool) | ((d == 2) & top[cdoc[at]])
         at, p = at[live], p[live]
@@ -269,20 +245,24 @@ def flatten_json(df: DataFrame, key: str, text: str, fields: list[str], trusted:
             held: list[tuple[bytes, object]] = []
             size = 0
 
-            def rows() -> pa.RecordBatch:
-                found = index_texts(held, wanted, trusted, with_json)
-                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+            def rows() -> Iterator[pa.RecordBatch]:
+                found, first, filled = index_texts(held, wanted, trusted, with_json), 0, 0
+                for n, r in enumerate(found, 1):  # paths of deep records are long
+                    filled += sum(len(x) for x in r if isinstance(x, str))
+                    if filled > BATCH_CHARS or n == len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found[first:n]], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+                        first, filled = n, 0
 
             for k, t in zip(keys, texts):
                 if not t.is_valid:
                     continue
                 raw = t.as_buffer().to_pybytes()
                 if held and size + len(raw) > CHUNK_BYTES:
-                    yield rows()
+                    yield from rows()
                     held, size = [], 0
                 held.append((raw, k))
                 size += len(raw)
             if held:
-                yield rows()
+                yield from rows()
 
     return df.select(F.col(key).cast("string"), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(run, SCHEMA)

@@ -101,3 +101,16 @@ def test_parent_across_a_string():
     text = json.dumps({"messages": [{"comments": json.dumps([{"replies": [{}]}])}]})
     rows = {r[1]: r[2] for r in index_texts([(text.encode(), 1)], FIELDS)}
     assert rows == {"messages/0": None, "messages/0/comments/0": "messages/0", "messages/0/comments/0/replies/0": "messages/0/comments/0"}
+
+
+def test_depth_and_length_are_not_bounded(spark):
+    depth = 20_000
+    deep = '{"labels":' + '{"k":' * (depth - 1) + "{}" + "}" * depth
+    long = '{"labels": {"a": {"value": ' + "9" * 6000 + "}}}"
+    again = '{"messages": [{"x": 1}], "labels": {"k": {}, "k": {"v": {}}}, "messages": [null, {"y": 1.50}]}'
+    rows = [(1, deep), (2, deep[:-1]), (3, long), (4, again), (5, '{"labels": {"a": {"value": NaN}}}')]
+    got = flatten_json(spark.createDataFrame(rows[1:], "rec_no bigint, line string"), "rec_no", "line", ["labels", "messages"], with_json=True)
+    plain = flatten_json(spark.createDataFrame(rows[:2], "rec_no bigint, line string"), "rec_no", "line", ["labels"])
+    assert plain.groupBy("parent_key").count().collect() == [("1", depth - 1)]
+    found = {(r.parent_key, r.child_path, r.json) for r in got.collect()}
+    assert found == {("3", "labels/a", '{"value": ' + "9" * 6000 + "}"), ("4", "labels/k", '{"v": {}}'), ("4", "labels/k/v", "{}"), ("4", "messages/1", '{"y": 1.50}')}
