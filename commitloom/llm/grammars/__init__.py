@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import ast
-import json
 import re
 import sys
 import warnings
 
+from ...functions.jsontext import complete
 from . import bash, c, go, javascript
 from .base import Broken
 
@@ -18,12 +18,9 @@ def _python(text: str) -> None:
         ast.parse(text.removeprefix("\ufeff"))
 
 
-def _constant(text: str) -> None:
-    raise ValueError(text)
-
-
 def _json(text: str) -> None:
-    json.loads(text, parse_constant=_constant)
+    if not complete(text):
+        raise Broken("json")
 
 
 GRAMMARS = {"python": _python, "bash": bash.parse, "javascript": javascript.parse, "c": c.parse, "go": go.parse, "json": _json}
@@ -31,6 +28,9 @@ GRAMMARS = {"python": _python, "bash": bash.parse, "javascript": javascript.pars
 #: The language that the last extension of a path tells.
 EXTENSIONS = {"py": "python", "sh": "bash", "js": "javascript", "c": "c", "h": "c", "go": "go", "json": "json"}
 
+#: How deep constructs may nest, and the calls that one of them may take.
+MAX_NESTING, FRAMES = 50_000, 16
+
 #: Tokens that are typical of a language; used only to rank the grammars.
 MARKS = {
     "python": re.compile(r"^\s*(?:def |class |import |from \w+ import |elif |except|with ).*:?$|\bself\b|\bNone\b|\"\"\"", re.M),
@@ -55,13 +55,21 @@ def rank(text: str) -> list[str]:
 
 
 def obeys(text: str, language: str) -> bool:
-    """Whether the text obeys the grammar; nesting beyond what can be parsed counts as a break."""
-    if sys.getrecursionlimit() < 20_000:
-        sys.setrecursionlimit(20_000)
+    """Whether the text obeys the grammar.
+
+    Constructs may nest MAX_NESTING deep; what nests deeper counts as a break
+    (Python's own parser stops at 200 brackets, JSON may nest without bound).
+    """
+    if sys.getrecursionlimit() < FRAMES * MAX_NESTING:
+        sys.setrecursionlimit(FRAMES * MAX_NESTING)
     try:
         GRAMMARS[language](text)
         return True
-    except (Broken, SyntaxError, ValueError, RecursionError, MemoryError):
+    except (Broken, SyntaxError, RecursionError):
+        return False
+    except (ValueError, MemoryError):  # Python's parser: null characters, more nesting than it has room for
+        if language != "python":
+            raise
         return False
 
 

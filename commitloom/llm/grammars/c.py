@@ -14,38 +14,102 @@ UNARY = frozenset("+ - ! ~ * & ++ --".split())
 DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(\w*)")
 
 
-def preprocess(text: str) -> str:
-    """Without directives; of conditional parts the first is kept."""
+CONDITION = re.compile(r"(?P<word>ifdef|ifndef|elifdef|elifndef|if|elif|else|endif)\b(?P<rest>.*)")
+_DEFINED = re.compile(r"(?P<no>!?)\s*defined\s*(?:\(\s*(\w+)\s*\)|(\w+))")
+KNOWN = frozenset("define undef include include_next import pragma error warning line ident embed".split())
+
+
+def condition(word: str, rest: str) -> tuple[str, bool]:
+    """What a conditional asks and the answer that it wants: ``#ifndef A`` and ``#if !defined(A)`` both want A not to be there."""
+    rest = " ".join(re.sub(r"//.*|/\*.*?\*/", " ", rest).split())
+    if word.endswith("def"):
+        return rest, not word.endswith("ndef")
+    m = _DEFINED.fullmatch(rest)
+    return (m[2] or m[3], not m["no"]) if m else (rest, True)
+
+
+def branches(text: str) -> tuple[list[tuple[str, int]], list[tuple[int, int, str, bool, int]]]:
+    """Lines outside directives, each with the number of its innermost branch (0 for none), and the branches."""
     text = re.sub(r"\\[ \t]*\r?\n", "  ", text.replace("\r\n", "\n").replace("\r", "\n"))
-    out, stack, comment = [], [], False
+    out: list[tuple[str, int]] = []
+    parts: list[tuple[int, int, str, bool, int]] = [(0, 0, "", True, 0)]  # of each branch: branch around it, its conditional, question, answer wanted, place
+    stack: list[list[int]] = []  # conditional, place, branch around it, whether #else was there
+    conditionals, comment, here = 0, False, 0
     for line in text.split("\n"):
         m = None if comment else DIRECTIVE.match(line)
-        if m:
-            word = m.group(1)
-            if word in ("if", "ifdef", "ifndef"):
-                stack.append(True)
-            elif word in ("else", "elif", "elifdef", "elifndef"):
-                if not stack:
-                    raise Broken(f"#{word} without #if")
-                stack[-1] = False
-            elif word == "endif":
-                if not stack:
-                    raise Broken("#endif without #if")
-                stack.pop()
-            elif word not in ("", "define", "undef", "include", "include_next", "import", "pragma", "error", "warning", "line", "ident", "embed"):
-                raise Broken(f"#{word}")
-            tail = line[m.end() :]
-            comment = tail.rfind("/*") > tail.rfind("*/")
-            if comment:
-                out.append("/*")
+        if not m:
+            comment = _in_comment(line, comment)
+            out.append((line, here))
             continue
-        keep = all(stack)
-        comment = _in_comment(line, comment)
-        if keep or comment:
-            out.append(line)
+        word, tail = m.group(1), line[m.end() :]
+        if word in ("if", "ifdef", "ifndef"):
+            conditionals += 1
+            parts.append((here, conditionals, *condition(word, tail), 0))
+            stack.append([conditionals, 0, here, 0])
+            here = len(parts) - 1
+        elif word in ("else", "elif", "elifdef", "elifndef"):
+            if not stack or stack[-1][3]:
+                raise Broken(f"#{word} without #if")
+            top = stack[-1]
+            top[1] += 1
+            top[3] = int(word == "else")
+            parts.append((top[2], top[0], *(("", True) if word == "else" else condition(word[2:] if word != "elif" else "if", tail)), top[1]))
+            here = len(parts) - 1
+        elif word == "endif":
+            if not stack:
+                raise Broken("#endif without #if")
+            here = stack.pop()[2]
+        elif word and word not in KNOWN:
+            raise Broken(f"#{word}")
+        comment = tail.rfind("/*") > tail.rfind("*/") and _in_comment(tail, False)
+        if comment:
+            out.append(("/*", here))
     if stack:
         raise Broken("open #if")
-    return "\n".join(out)
+    return out, parts
+
+
+#: Questions of conditionals whose answer is known.
+ANSWERS = {"0": False, "1": True, "false": False, "true": True, "__cplusplus": False, "__OBJC__": False}
+
+
+def readings(text: str) -> list[str]:
+    """The text as the compiler may see it, without directives, once for every way to answer the conditionals that reads something new.
+
+    All questions answered yes, then all answered no, then one reading for each
+    place of ``#elif`` that neither reads.  Branches that no answer reaches
+    (``#if 0``, ``#ifdef __cplusplus``) are in none.
+    """
+    lines, parts = branches(text)
+    if len(parts) == 1:
+        return ["\n".join(line for line, _ in lines)]
+    chains: dict[int, list[int]] = {}
+    for i, part in enumerate(parts[1:], 1):
+        chains.setdefault(part[1], []).append(i)
+    sure = {i for i in range(1, len(parts)) if ANSWERS.get(parts[i][2]) == parts[i][3] or not parts[i][2]}
+    never = {i for chain in chains.values() for n, i in enumerate(chain) if sure.intersection(chain[:n]) or ANSWERS.get(parts[i][2], parts[i][3]) != parts[i][3]}
+    seen: set[int] = set()
+
+    def reading(answer: bool, forced: int) -> str | None:
+        live = {0}
+        for chain in chains.values():
+            chosen = None
+            wanted = [i for i in chain if parts[i][4] == forced and i not in seen and i not in never] if forced else []
+            for i in wanted or chain:
+                question, want = parts[i][2], parts[i][3]
+                if wanted or question == "" or ANSWERS.get(question, answer) == want:
+                    chosen = i
+                    break
+            if chosen is not None and parts[chosen][0] in live:
+                live.add(chosen)
+        if live <= seen and seen:
+            return None
+        seen.update(live)
+        return "\n".join(line for line, where in lines if where in live)
+
+    found = [reading(True, 0), reading(False, 0)]
+    found += [reading(False, k) for k in range(1, max(map(len, chains.values())))]
+    return [t for t in found if t is not None]
 
 
 _PIECE = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|//.*|/\*|\*/")
@@ -77,6 +141,7 @@ class C(Lazy):
     )
 
     def program(self) -> None:
+        self.no_cast: set[int] = set()
         self.advance()
         while self.kind != "end":
             if not self.take(";"):
@@ -268,8 +333,8 @@ class C(Lazy):
                         raise Broken(f"function at {self.start}")
                     self.declarators()
                 return self.block()
-            if not any_:
-                raise Broken(f"declaration at {self.start}") if not call else None
+            if not any_ and not call:
+                raise Broken(f"declaration at {self.start}")
             first = False
             if self.take("="):
                 self.initializer()
@@ -495,7 +560,7 @@ class C(Lazy):
                 self.block()
                 self.need(")")
                 return self.suffixes()
-            if self.starts_declaration():
+            if state[1] not in self.no_cast and self.starts_declaration():
                 try:
                     self.type_name()
                     self.need(")")
@@ -504,6 +569,7 @@ class C(Lazy):
                         return self.suffixes()
                     return self.unary()
                 except Broken:
+                    self.no_cast.add(state[1])  # never tried again, so chains of products stay cheap
                     self.restore(state)
                     self.advance()
             single = self.is_ident() and self.ahead() == ")"
@@ -566,4 +632,5 @@ class C(Lazy):
 
 
 def parse(text: str) -> None:
-    C(preprocess(text.removeprefix("\ufeff"))).program()
+    for reading in readings(text.removeprefix("\ufeff")):
+        C(reading).program()

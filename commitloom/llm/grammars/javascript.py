@@ -13,7 +13,8 @@ UNARY = frozenset("delete void typeof + - ~ ! ++ --".split())
 
 
 class JavaScript(Lazy):
-    SKIP = re.compile(r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*.*?\*/)*", re.S)
+    #: Blanks and comments, with the old marks ``<!--`` anywhere and ``-->`` at the begin of a line.
+    SKIP = re.compile(r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*.*?\*/|<!--[^\n\r\u2028\u2029]*|(?:(?<=[\n\r\u2028\u2029])|(?<=^))[ \t]*-->[^\n\r\u2028\u2029]*)*", re.S)
     TOKEN = re.compile(
         r"(?P<name>\#?(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)"
         r"|(?P<num>(?:0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*n|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?))(?![\w$]))"
@@ -551,20 +552,12 @@ class JavaScript(Lazy):
                 self.s_class(expression=True)
                 return "other"
             if tok == "async":
-                state = self.save()
                 self.advance()
                 if self.at("function") and not self.nl:
                     self.function(asynchronous=True, expression=True)
                     return "other"
                 if self.at("(") and not self.nl:
-                    inner = self.save()
-                    try:
-                        self.parenthesized(True)
-                        return "arrow"
-                    except Broken:
-                        self.restore(inner)
-                    self.restore(state)
-                    self.advance()
+                    return self.parenthesized(True)
                 return "name"
             if tok in ("this", "null", "true", "false"):
                 self.advance()
@@ -613,16 +606,16 @@ class JavaScript(Lazy):
                 return "other"
         raise Broken(f"operand at {self.start}")
 
-    def parenthesized(self, arrow: bool) -> str:
-        """A parenthesized expression, or the parameters and body of an arrow function."""
+    def parenthesized(self, call: bool) -> str:
+        """A parenthesized expression, or the parameters and body of an arrow function; behind ``async`` it may be a call."""
         self.need("(")
-        only_arrow, kind, many = arrow, "other", False
+        only_arrow, kind, many = False, "other", False
         if self.at(")"):
             only_arrow = True
         while not self.at(")"):
             if self.take("..."):
                 only_arrow = True
-                self.binding()
+                self.assignment() if call else self.binding()
             else:
                 kind = self.assignment()
             if not self.at(")"):
@@ -633,7 +626,9 @@ class JavaScript(Lazy):
         self.advance()
         if self.at("=>") and not self.nl:
             self.advance()
-            return self.arrow_body(arrow)
+            return self.arrow_body(call)
+        if call:
+            return "other"
         if only_arrow:
             raise Broken(f"=> at {self.start}")
         return "other" if many or kind == "pattern" else kind if kind != "arrow" else "other"

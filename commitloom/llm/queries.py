@@ -19,8 +19,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_files(spark: SparkSession, d: str) -> DataFrame:
-    """Every judged file with its verdict and the languages that it parses in."""
-    return flag_files(table(spark, d, "blobs")).select("blob_id", "language", "verdict", F.array_join("parses", ",").alias("parses")).distinct()
+    """Every judged file with its verdict, the language found and the languages that it parses in."""
+    return flag_files(table(spark, d, "blobs")).select("blob_id", "language", "detected", "verdict", F.array_join("parses", ",").alias("parses")).distinct()
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:

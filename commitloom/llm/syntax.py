@@ -10,19 +10,39 @@ from pyspark.sql import functions as F
 
 from . import grammars
 
-SCHEMA = "blob_id bigint, project string, language string, parses array<string>, broken boolean, verdict string"
+SCHEMA = "blob_id bigint, project string, language string, detected string, parses array<string>, broken boolean, verdict string"
+
+
+def judge(language: str, text: str) -> tuple[str | None, list[str], bool, str]:
+    """The likeliest language that the text parses in, all of them in that order, whether it breaks its own, and the verdict."""
+    good, failed = [], False
+    for g in grammars.rank(text):
+        try:
+            if grammars.obeys(text, g):
+                good.append(g)
+        except Exception:  # a fault of the parser must not end the job
+            failed = failed or g == language
+    if language in good:
+        verdict = "valid"
+    elif failed:
+        verdict = "parser_error"
+    else:
+        verdict = "wrong_extension" if good and text.strip() else "corrupt"
+    return good[0] if good and text.strip() else None, good, language not in good and not failed, verdict
 
 
 def flag_files(blobs: DataFrame, id_col: str = "blob_id", project: str = "project", path: str = "path", content: str = "content") -> DataFrame:
     """One row per file whose extension tells a supported language, with the grammars that its text obeys.
 
     Every text is tried against every grammar, the likeliest by its tokens
-    first.  ``verdict`` is valid, wrong_extension (it obeys another grammar
-    only) or corrupt (it obeys none; a blank text says nothing about others).  Files with other extensions, null paths
-    and null contents give no rows.  An empty text is valid where the grammar
-    allows it (not in Go and JSON).  Texts are parsed whole, whatever their
-    length; what nests too deep to be parsed is broken.  Copies of a row give
-    copies of the result; other columns are ignored, whatever their names.
+    first; ``detected`` is the first that it obeys (null for none and for blank
+    texts).  ``verdict`` is valid, wrong_extension (it obeys another grammar
+    only), corrupt (it obeys none; a blank text says nothing about others) or
+    parser_error (the parser itself failed: not broken, but not judged).  Files
+    with other extensions, null ids, paths and contents give no rows.  An empty text is valid where
+    the grammar allows it (not in Go and JSON).  Texts are parsed whole,
+    whatever their length; see ``grammars.obeys`` for nesting.  Copies of a row
+    give copies of the result; other columns are ignored, whatever their names.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,12 +50,9 @@ def flag_files(blobs: DataFrame, id_col: str = "blob_id", project: str = "projec
             rows = []
             for i, who, where, text in zip(f["i"], f["w"], f["p"], f["t"]):
                 language = grammars.language_of(where)
-                if language is None:
-                    continue
-                good = grammars.parses(text)
-                verdict = "valid" if language in good else "wrong_extension" if good and text.strip() else "corrupt"
-                rows.append((i, who, language, good, language not in good, verdict))
-            yield pd.DataFrame(rows, columns=["blob_id", "project", "language", "parses", "broken", "verdict"])
+                if language is not None:
+                    rows.append((i, who, language, *judge(language, text)))
+            yield pd.DataFrame(rows, columns=["blob_id", "project", "language", "detected", "parses", "broken", "verdict"])
 
     slim = blobs.select(F.col(id_col).cast("bigint").alias("i"), F.col(project).alias("w"), F.col(path).alias("p"), F.col(content).alias("t"))
     return slim.filter(F.col("t").isNotNull() & F.col("i").isNotNull() & F.col("p").rlike(r"(?i)\.(" + "|".join(grammars.EXTENSIONS) + ")$")).mapInPandas(run, SCHEMA)

@@ -1,10 +1,13 @@
+import random
 import shutil
 import subprocess
 
 import pytest
 
+from commitloom.llm import grammars
 from commitloom.llm.grammars import language_of, obeys, parses
-from commitloom.llm.syntax import flag_files, parse_rates
+from commitloom.llm.grammars.base import Broken
+from commitloom.llm.syntax import flag_files, judge, parse_rates
 
 GOOD = {
     "javascript": [
@@ -69,6 +72,86 @@ def test_very_deep_and_long():
     assert obeys("f(a);\n" * 20_000, "javascript")
 
 
+PIECES = {
+    "c": "int x ; { } ( ) [ ] * = , struct if else for while return #if #endif #else #elif #define \n \" ' 1 a.b -> static case : ? sizeof typedef goto // /* */ do switch enum f(x); @ \\ extern",
+    "javascript": "function x ; { } ( ) [ ] => = , let const class extends async await yield * if else for of in return ` ${ } / /re/ \n \" ' 1 a.b ... ? : ?. new import export from default get set static # case switch try catch -- <!-- -->",
+    "go": "package main\n func x ; { } ( ) [ ] * := = , type struct interface map chan <- if else for range return go defer select switch case : \n \" ' ` 1 a.b import var const ... goto //",
+    "bash": "if then fi else for in do done while case esac ;; ; | & && || ( ) { } $ ${ } $( ) ` \" ' << EOF \n function x = a=b [[ ]] (( )) < > # \\ ! $((",
+    "python": "def x : ( ) [ ] { } = , if else for in \n \" ' 1 a.b class return lambda * ** @ async await try except with as import from yield \\ \t match f\" := \0",
+    "json": "{ } [ ] : , \" 1 null true false \\ -1 1e5 NaN \n",
+}
+
+
+def test_no_grammar_fails_on_any_text():
+    rng = random.Random(9)
+    pieces = {k: v.split(" ") for k, v in PIECES.items()}
+    everything = sum(pieces.values(), [])
+    for _ in range(6000):
+        pool = pieces[rng.choice(list(pieces))] if rng.random() < 0.8 else everything
+        text = rng.choice([" ", "", "\n"]).join(rng.choice(pool) for _ in range(rng.randint(1, 30)))
+        for name, grammar in grammars.GRAMMARS.items():
+            try:
+                grammar(text)
+            except (Broken, SyntaxError):
+                pass
+            except ValueError:
+                assert name == "python"
+
+
+def test_calls_at_the_top_of_a_file():
+    assert judge("javascript", "setup(app);\nlet y = 1;\n") == ("javascript", ["javascript", "c"], False, "valid")
+    assert obeys("EXPORT_SYMBOL(foo);\nint a;\n", "c") and not obeys("foo(bar)) ;\n", "c")
+
+
+def test_a_fault_of_a_parser_is_a_verdict(monkeypatch):
+    def fail(text):
+        raise TypeError(text)
+
+    monkeypatch.setitem(grammars.GRAMMARS, "go", fail)
+    assert judge("go", "package p\n")[2:] == (False, "parser_error")
+    assert judge("json", "{}")[2:] == (False, "valid")
+
+
+@pytest.mark.parametrize(
+    ("text", "good"),
+    [
+        ("#if 0\nThis isn't code, don't read it: {\n#else\nint a;\n#endif\n", True),
+        ("#if 0\nint a;\n#else\nint b\n#endif\n", False),
+        ("#ifdef A\nint a;\n#else\nint b = ;\n#endif\n", False),
+        ("#ifdef A\nint a;\n#elif B\nint b = ;\n#else\nint c;\n#endif\n", False),
+        ("#ifdef A\nint f(int x) {\n#else\nint f(void) {\n#endif\nreturn 1;\n#ifndef A\n}\n#else\n}\n#endif\n", True),
+        ("#if defined(A)\nvoid f(void) {\n#endif\n#if !defined(A)\nint x;\n#else\n}\n#endif\n", True),
+        ("#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(void);\n#ifdef __cplusplus\n}\n#endif\n", True),
+        ("#if 1\nint a;\n#elif x\n'\n#else\n#endif\n", True),
+        ("#if A\n#else\n#else\n#endif\n", False),
+        ("#if A\n#if B\nint a;\n#else\nint b\n;\n#endif\n#endif\n", True),
+    ],
+)
+def test_conditionals_of_c(text, good):
+    assert obeys(text, "c") == good
+
+
+def test_old_comments_of_scripts():
+    assert obeys("<!-- hidden\nvar a = 1;\n--> end\n", "javascript") and not obeys("a --> ;", "javascript")
+    assert obeys("while (n --> 0) f();", "javascript")
+
+
+@pytest.mark.parametrize(("language", "text"), [("javascript", "x = " + "async(" * 60 + "1" + ")" * 60), ("c", "int x = " + "(a * b) + " * 60 + "@"), ("c", "int x = " + "(a * b) + " * 60 + "(c * d);"), ("json", "[" * 200_000 + "]" * 200_000), ("go", "package p\nvar x = " + "(" * 20_000 + "1" + ")" * 20_000)])
+def test_no_text_takes_long(language, text):
+    assert obeys(text, language) == ("@" not in text)
+
+
+def test_rates_like_sql(spark, data, tmp_path):
+    from commitloom.llm import queries as q
+    import duckdb
+
+    flagged = flag_files(spark.read.parquet(f"{data}/blobs.parquet"))
+    flagged.write.parquet(str(tmp_path / "flagged"))
+    got = {tuple(r) for r in q.p3_rates(spark, data).select("project", "language", "files", "broken", "wrong_extension", "rate").collect()}
+    sql = f"WITH f AS (SELECT DISTINCT project, language, blob_id, broken, verdict FROM '{tmp_path}/flagged/*.parquet') SELECT project, language, count(*), count(*) FILTER (broken), count(*) FILTER (verdict = 'wrong_extension'), round(avg(CAST(broken AS INT)), 6) FROM f GROUP BY 1, 2"
+    assert got == set(duckdb.sql(sql).fetchall())
+
+
 def test_operator(spark):
     rows = [(1, "p", "a.py", "x = 1", 9), (2, "p", "b.py", "x = (", 9), (2, "p", "b.py", "x = (", 9), (3, None, "c.js", "def f():\n    pass\n", 9), (4, "p", "d.txt", "x = (", 9), (5, "p", "e.py", None, 9), (6, "p", None, "x", 9), (7, "q", "f.json", "", 9), (None, "q", "g.py", "x = (", 9)]
     df = spark.createDataFrame(rows, "blob_id bigint, project string, path string, content string, verdict int")
