@@ -2,12 +2,17 @@
 
 Both sides are folded to letters and digits.  Documents keep the least k-gram
 hash of every window of w hashes, items keep all of theirs, so every span of
-w + k - 1 folded characters that both share gives at least one common
-fingerprint.  Fingerprints that many items share (stock sentences, exam
-phrases, copies of an item) make candidates as any other, else items made of
-them would be found nowhere.  Each candidate is then checked exactly: runs of common words are extended over slight changes to stretches,
-and the best one or two stretches, in the item's order, must carry the wanted
-part of the item.
+w + k - 1 folded characters that both share gives a common fingerprint, and one
+common fingerprint makes a candidate.  Each candidate is then checked exactly:
+runs of common words are extended over slight changes to stretches, and the best
+one or two stretches, in the item's order, must carry the wanted part of the
+item, both by characters and by characters weighted with how rare the words are
+among the items.  The weights tell a passage from another one that fills the
+same sentence pattern.
+
+Items are the stated query set: they are taken in blocks of bounded size, each
+of which is sent to the tasks that read the documents, so no document and no
+fingerprint is ever shuffled.
 """
 
 from __future__ import annotations
@@ -26,46 +31,32 @@ from ..runtime import cut
 
 #: Folded characters in a fingerprint, and fingerprints in a window.
 GRAM, WINDOW = 12, 8
-#: A fingerprint of more items than this is stock.
-STOCK_ITEMS = 4
-#: The part of an item that makes a leak.
-SHARE = 0.4
-#: Least run of common words, longest change between two runs, and what each changed word costs in common words.
-RUN, CHANGE, COST = 3, 6, 2.0
-#: Fingerprints of items up to which documents are filtered where they are read (8 bytes each); beyond, both sides are joined.
-FILTER_LIMIT = 4_000_000
-
-#: Function words that stand for one another without a change of meaning; the first of each group is kept.
-SAME = (
-    "the this these those", "a an one some", "and plus also", "of from", "every each all any", "only just merely solely", "before until till", "often usually frequently", "if when whenever once", "whereas while whilst",
-    "must should shall", "named called", "never hardly", "but yet however", "that which who", "because since as", "about regarding concerning", "with using via", "may might can could", "between among", "then afterwards",
-    "der die das den dem des dieser diese dieses diesen diesem jener jene jenes", "ein eine einen einem einer eines", "und sowie", "außerdem zudem ferner", "warum weshalb wieso", "während indes", "noch", "muss soll sollte", "nach", "jeder jede jedes jeden", "obwohl obgleich", "nur bloß lediglich",
-)
+#: The part of an item that makes a leak, and the part of its weight that must stand word for word (misspelt words not counted).
+SHARE, OWN = 0.4, 0.35
+#: Least run of common words, longest change between two runs, what each changed word costs in common words, and the least worth of a stretch.
+RUN, CHANGE, COST, LEAST = 3, 6, 2.0, 6.0
+#: Characters of items that are searched for at once; more items take further blocks.
+BLOCK_CHARS = 4_000_000
+
 _IGNORED = regex.compile(r"[\p{Cf}\p{Mn}]")
 _TOKEN = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}]|[\p{L}\p{M}]+|\p{N}+")
-_WIDE = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}]")
+_ASCII_TOKEN = regex.compile(r"[a-z]+|[0-9]+")
 _BREAK = regex.compile(r"(?<=\p{Ll})[-‐]\n[ \t>]*(?=\p{Ll})")
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
-_SAME: dict[str, str] = {}
-
-
 def fold(text: str) -> str:
     """Case, accents, width, invisible characters and words parted at line ends are evened out."""
-    text = unicodedata.normalize("NFKD", _BREAK.sub("", text)).casefold()
-    return _IGNORED.sub("", text)
-
-
-for _group in SAME:
-    _first, *_others = fold(_group).split()
-    for _word in _others:
-        _SAME.setdefault(_word, _first)
+    text = _BREAK.sub("", text)
+    if text.isascii():
+        return text.lower()
+    return _IGNORED.sub("", unicodedata.normalize("NFKD", text).casefold())
 
 
 def words(text: str) -> list[str]:
-    """Words, numbers, and the single characters of scripts without blanks; of function words that stand for one another the same."""
-    return [_SAME.get(t, t) for t in _TOKEN.findall(fold(text))]
+    """Words, numbers, and the single characters of scripts without blanks."""
+    text = fold(text)
+    return (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text)
 
 
 def gram_hashes(tokens: list[str]) -> np.ndarray:
@@ -101,30 +92,51 @@ def _close(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
 
 
-def carried(doc: list[str], item: list[str]) -> float:
-    """The part of the item's characters that the best one or two stretches of the document carry."""
-    if len(item) < RUN or len(doc) < RUN:
-        return 0.0
-    at = defaultdict(list)
-    for i in range(len(item) - RUN + 1):
-        at[tuple(item[i : i + RUN])].append(i)
+class Item:
+    """An item, ready to be looked for."""
+
+    def __init__(self, words_: list[str], rarity: list[float]) -> None:
+        self.words = words_
+        self.run = min(RUN, len(words_))
+        self.least = min(LEAST, max(float(self.run), len(words_) * SHARE / 2))
+        self.chars = np.cumsum([0.0, *map(len, words_)])
+        self.weight = np.cumsum([0.0, *(len(t) * r for t, r in zip(words_, rarity))])
+        self.at: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for i in range(len(words_) - self.run + 1):
+            self.at[tuple(words_[i : i + self.run])].append(i)
+        self.heads = frozenset(g[0] for g in self.at if g)
+        self.weight_of: dict[str, float] = defaultdict(float)
+        for t, r in zip(words_, rarity):
+            self.weight_of[t] += len(t) * r
+
+
+def carried(doc: list[str], item: Item, places: dict[str, list[int]] | None = None) -> tuple[float, float]:
+    """The part of the item that the best one or two stretches of the document carry, by characters and, word for word, by weight.
+
+    ``places`` are the positions of each word in the document.
+    """
+    run = item.run
+    if not run or len(doc) < run:
+        return 0.0, 0.0
+    if places is None:
+        places = word_places(doc)
     runs: dict[int, list[list[int]]] = defaultdict(list)  # by diagonal: start in doc, end in doc
-    for j in range(len(doc) - RUN + 1):
-        for i in at.get(tuple(doc[j : j + RUN]), ()):
+    for j in sorted(j for t in item.heads for j in places.get(t, ())):
+        for i in item.at.get(tuple(doc[j : j + run]), ()):
             own = runs[j - i]
-            if own and own[-1][1] >= j + RUN - 1:
-                own[-1][1] = j + RUN
+            if own and own[-1][1] >= j + run - 1:
+                own[-1][1] = j + run
             else:
-                own.append([j, j + RUN])
+                own.append([j, j + run])
     pieces = sorted((a, b, a - d, b - d) for d, own in runs.items() for a, b in own)
     if not pieces:
-        return 0.0
-    weight = np.cumsum([0, *map(len, item)])
+        return 0.0, 0.0
+    chars, weight, text = item.chars, item.weight, item.words
     # stretches: chains of runs over slight changes
-    best: list[tuple[float, float, int, int, int, int]] = []  # score, weight carried, item from, to, doc from, to
+    best: list[tuple[float, float, int, int, int, int, float]] = []  # score, characters carried, item from, to, doc from, to, weight carried
     open_: list[int] = []
     for n, (a, b, i, k) in enumerate(pieces):
-        score, mass, start, dstart = float(b - a), float(weight[k] - weight[i]), i, a
+        score, mass, own, start, dstart = float(b - a), float(chars[k] - chars[i]), float(weight[k] - weight[i]), i, a
         open_ = [m for m in open_ if pieces[m][1] >= a - CHANGE]
         for m in open_:
             pa, pb, pi, pk = pieces[m]
@@ -132,95 +144,155 @@ def carried(doc: list[str], item: list[str]) -> float:
             gd, gi = a + over - pb, i + over - pk
             if gd < 0 or gi < 0 or max(gd, gi) > CHANGE or over >= b - a:
                 continue
-            cost = COST * max(gd, gi)
-            alike = [x for x in range(gd) if _close(doc[pb + x], item[pk + x])] if gd == gi else []
-            cost -= COST * len(alike)
+            alike = [x for x in range(gd) if _close(doc[pb + x], text[pk + x])] if gd == gi else []
+            cost = COST * (max(gd, gi) - len(alike))
             s = best[m][0] + (b - a - over) - cost
             if best[m][0] > cost and s > score:  # a single changed word between two runs is carried too, and so are misspelt ones
                 score, start, dstart = s, best[m][2], best[m][4]
-                changed = len(item[pk]) if gi == gd == 1 else sum(len(item[pk + x]) for x in alike)
-                mass = best[m][1] + float(weight[k] - weight[i + over]) + changed
-        best.append((score, mass, start, k, dstart, b))
+                mass = best[m][1] + float(chars[k] - chars[i + over]) + (len(text[pk]) if gi == gd == 1 else sum(len(text[pk + x]) for x in alike))
+                own = best[m][6] + float(weight[k] - weight[i + over])
+        best.append((score, mass, start, k, dstart, b, own))
         open_.append(n)
-    total = float(weight[-1])
     top = max(best, key=lambda x: x[1])
-    second = 0.0
+    if top[0] < item.least:
+        return 0.0, 0.0
+    second = (0.0, 0.0)
     for x in best:  # the other stretch: before or after it in both
-        if (x[3] <= top[2] and x[5] <= top[4]) or (x[2] >= top[3] and x[4] >= top[5]):
-            second = max(second, x[1] if x[0] >= 6 else 0.0)
-    return (top[1] + second) / total if top[0] >= 6 else 0.0
+        if x[0] >= item.least and ((x[3] <= top[2] and x[5] <= top[4]) or (x[2] >= top[3] and x[4] >= top[5])):
+            second = max(second, (x[1], x[6]))
+    return (top[1] + second[0]) / float(chars[-1]), (top[6] + second[1]) / float(weight[-1])
 
 
-def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str = "item_text", stock: int | None = STOCK_ITEMS) -> DataFrame:
-    """``item_id, h``: the fingerprints of each item that are no stock of the items (with ``stock`` null, all of them)."""
+def word_places(doc: list[str]) -> dict[str, list[int]]:
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, t in enumerate(doc):
+        places[t].append(j)
+    return places
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            parts = [(i, np.unique(gram_hashes(words(t)))) for i, t in zip(f["i"], f["t"])]
-            yield pd.DataFrame({"item_id": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype("int64"), "h": np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint64)]).view(np.int64)})
 
-    slim = items.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
-    prints = slim.mapInPandas(run, "item_id bigint, h bigint").distinct()
-    if stock is None:
-        return prints
-    rare = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= stock).select("h")
-    return prints.join(rare, "h")
-
-
-def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, filter_limit: int = FILTER_LIMIT) -> DataFrame:
-    """``doc_id, item_id, share``: documents that carry at least ``share`` of an item.
+def item_classes(items: DataFrame, id_col: str = "item_id", text_col: str = "item_text") -> tuple[DataFrame, DataFrame]:
+    """Items of the same words are one class: ``class_id, words, rarity``, and the members ``item_id, class_id``.
 
-    Null and blank texts and items give nothing; items too short for one
-    fingerprint are found nowhere.  Texts are taken whole.  Copies of a document
-    each count under their own id, repeated rows of one id count once.
-    Documents meet items only through fingerprints; those of the items are
-    filtered for where documents are read as long as they are at most
-    ``filter_limit``, and joined by shuffling beyond that.
+    The rarity of a word is the logarithm of 1 + the classes over the classes that have it.
     """
-    prints = cut(item_fingerprints(items, stock=None))
-    size = prints.select("h").distinct().limit(filter_limit + 1).count()
-    known = documents.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in prints.select("h").distinct().collect()], np.int64))) if size <= filter_limit else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ids, hashes = [], []
-            for i, t in zip(f["i"], f["t"]):
-                h = winnow(gram_hashes(words(t))).view(np.int64)
-                if known is not None and len(h) and len(known.value):
-                    at = np.searchsorted(known.value, h)
-                    h = h[known.value[np.minimum(at, len(known.value) - 1)] == h]
-                elif known is not None:
-                    h = h[:0]
-                ids.append(i)
-                hashes.append(h)
-            yield pd.DataFrame({"doc_id": np.repeat(np.array(ids, "int64"), [len(h) for h in hashes]), "h": np.concatenate(hashes or [np.empty(0, np.int64)])})
+            yield pd.DataFrame({"item_id": f["i"], "key": [" ".join(words(t)) for t in f["t"]]})
 
+    slim = items.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
+    keyed = cut(slim.mapInPandas(run, "item_id bigint, key string").filter("key <> ''").distinct())
+    classes = keyed.groupBy("key").agg(F.min("item_id").alias("class_id"))
+    members = keyed.join(classes, "key").select("item_id", "class_id")
+    spread = classes.select("class_id", F.posexplode(F.split("key", " ")).alias("pos", "word"))
+    known = spread.groupBy("word").agg(F.count_distinct("class_id").alias("n"))
+    total = classes.agg(F.count(F.lit(1)).alias("total"))
+    weighed = spread.join(known, "word").crossJoin(F.broadcast(total)).select("class_id", F.struct("pos", "word", F.log(1 + F.col("total") / F.col("n")).alias("r")).alias("w"))
+    packed = weighed.groupBy("class_id").agg(F.array_sort(F.collect_list("w")).alias("w"))  # as long as one item
+    return packed.select("class_id", F.col("w.word").alias("words"), F.col("w.r").alias("rarity")), members
+
+
+class Block:
+    """Some classes of items with their fingerprints, sorted."""
+
+    def __init__(self, rows: list[tuple[int, list[str], list[float]]]) -> None:
+        self.ids = [r[0] for r in rows]
+        self.items = [Item(r[1], r[2]) for r in rows]
+        prints = [np.unique(gram_hashes(r[1])).view(np.int64) for r in rows]
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in prints])
+        # an item shorter than a window may lose all of its fingerprints in a document, so all hashes of documents ask for it
+        small = np.array([it.chars[-1] < GRAM + WINDOW - 1 for it in self.items], bool)[owner] if len(rows) else np.zeros(0, bool)
+        every = np.concatenate([*prints, np.empty(0, np.int64)])
+        self.long, self.short = (self._sorted(every[m], owner[m]) for m in (~small, small))
+
+    @staticmethod
+    def _sorted(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(h, kind="stable")
+        return h[order], owner[order]
+
+    def candidates(self, hashes: np.ndarray) -> list[int]:
+        """The items that share a fingerprint with a document."""
+        found: set[int] = set()
+        for (h, owner), asked in ((self.long, winnow(hashes)), (self.short, hashes)):
+            if not len(h) or not len(asked):
+                continue
+            asked = asked.view(np.int64)
+            a = np.searchsorted(h, asked)
+            hit = np.flatnonzero(h[np.minimum(a, len(h) - 1)] == asked)
+            if len(hit):
+                b = np.searchsorted(h, asked[hit], side="right")
+                for x, y in zip(a[hit], b):
+                    found.update(owner[x:y].tolist())
+        return sorted(found)
+
+    def leaks(self, text: str, share: float) -> list[tuple[int, float]]:
+        """``class_id, share`` of the items that the text carries."""
+        doc = words(text)
+        asked = self.candidates(gram_hashes(doc))
+        if not asked:
+            return []
+        out, places, least = [], word_places(doc), share * OWN / SHARE
+        for n in asked:
+            item = self.items[n]
+            if sum(w for t, w in item.weight_of.items() if t in places) < least * item.weight[-1]:
+                continue  # the words wanted stand nowhere in the document
+            part, own = carried(doc, item, places)
+            if part >= share and own >= least:
+                out.append((self.ids[n], part))
+        return out
+
+
+def _blocks(classes: DataFrame, most: int) -> Iterator[Block]:
+    held, size = [], 0
+    for r in classes.toLocalIterator():
+        held.append((r["class_id"], r["words"], r["rarity"]))
+        size += sum(map(len, r["words"]))
+        if size >= most:
+            yield Block(held)
+            held, size = [], 0
+    if held:
+        yield Block(held)
+
+
+def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, share``: documents that carry at least ``share`` of an item.
+
+    Null and blank texts and items give nothing; items of fewer than GRAM folded
+    characters have no fingerprint and are found nowhere.  Texts are taken whole.
+    Copies of a document each count under their own id, repeated rows of one id
+    count once.  Items of the same words are looked for once and each reported.
+
+    The documents are read once for each block of ``block_chars`` characters of
+    items; the results of a block are written before the next one is sent.
+    """
+    classes, members = item_classes(items)
     slim = documents.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
-    hits = slim.mapInPandas(run, "doc_id bigint, h bigint")
-    pairs = hits.join(prints, "h").groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n")).filter("n >= 2").select("doc_id", "item_id")
-    texts = slim.select(F.col("i").alias("doc_id"), F.col("t").alias("doc_text"))
-    wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("item_text").alias("item_text"))
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, tokens = None, []
-        seen: dict[str, list[str]] = {}
-        for f in frames:
-            out = []
-            for d, t, i, q in zip(f["doc_id"], f["doc_text"], f["item_id"], f["item_text"]):
-                if last is not t and last != t:
-                    last, tokens = t, words(t)
-                if q not in seen:
-                    if len(seen) > 5000:
-                        seen.clear()
-                    seen[q] = words(q)
-                part = carried(tokens, seen[q])
-                if part >= share:
-                    out.append((d, i, part))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
-
-    joined = pairs.join(wanted, "item_id").join(texts, "doc_id")
-    found = joined.select("doc_id", "doc_text", "item_id", "item_text").mapInPandas(check, "doc_id bigint, item_id bigint, share double")
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    schema = "doc_id bigint, class_id bigint, share double"
+
+    def search(block: Block, last: bool) -> DataFrame:
+        sent = documents.sparkSession.sparkContext.broadcast(block)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = [(i, c, part) for i, t in zip(f["i"], f["t"]) for c, part in sent.value.leaks(t, share)]
+                yield pd.DataFrame(rows, columns=["doc_id", "class_id", "share"])
+
+        found = slim.mapInPandas(run, schema)
+        if last:
+            return found
+        found = cut(found)
+        sent.destroy()
+        return found
+
+    found, waiting = documents.sparkSession.createDataFrame([], schema), None
+    for block in _blocks(classes, block_chars):
+        if waiting is not None:
+            found = found.unionAll(search(waiting, False))
+        waiting = block
+    if waiting is not None:
+        found = found.unionAll(search(waiting, True))
+    once = found.groupBy("doc_id", "class_id").agg(F.max("share").alias("share"))
+    return once.join(members, "class_id").select("doc_id", "item_id", "share")
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:
