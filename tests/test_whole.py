@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-from commitloom.llm import leakage
 from commitloom.operators import graph
 from commitloom.queries import reference as R
 
@@ -47,11 +46,3 @@ def test_closure_by_brute_force_and_cycles(spark):
     assert {(r.merge, r.node): r.depth for r in got.collect()} == want
     near = {r.node: r.merge for r in graph.nearest_mainline(got).collect()}
     assert near["73"] == "m6" and near["70"] == "m3"
-
-
-def test_copies_of_an_item_are_all_found(spark):
-    text = "State whether the coarse pulley outlives the amber spindle once load_session has run 488 times. Every glib tenant owns a girder, and its armature tallies whatever the muted ingot left behind."
-    items = spark.createDataFrame([(i, "s", text) for i in range(6)] + [(9, "s", "Between 889 and 116 rounds, no jagged kiln ever hoists its hopper, nor yokes its winch.")], "item_id bigint, suite string, item_text string")
-    documents = spark.createDataFrame([(1, f"Intro. {text} End."), (2, "Nothing of the kind stands here, whatever one may look for.")], "doc_id bigint, text string")
-    for limit in (leakage.FILTER_LIMIT, 0):
-        assert {(r.doc_id, r.item_id) for r in leakage.leaks(documents, items, filter_limit=limit).collect()} == {(1, i) for i in range(6)}
