@@ -20,6 +20,7 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -284,14 +285,13 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         sent.destroy()
         return found
 
-    found, waiting = documents.sparkSession.createDataFrame([], schema), None
+    parts, waiting = [], None
     for block in _blocks(classes, block_chars):
         if waiting is not None:
-            found = found.unionAll(search(waiting, False))
+            parts.append(search(waiting, False))
         waiting = block
-    if waiting is not None:
-        found = found.unionAll(search(waiting, True))
-    once = found.groupBy("doc_id", "class_id").agg(F.max("share").alias("share"))
+    parts.append(search(waiting or Block([]), True))
+    once = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "class_id").agg(F.max("share").alias("share"))
     return once.join(members, "class_id").select("doc_id", "item_id", "share")
 
 
