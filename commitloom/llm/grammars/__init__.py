@@ -6,6 +6,7 @@ import ast
 import re
 import sys
 import warnings
+from collections import Counter
 
 from ...functions.jsontext import complete
 from . import bash, c, go, javascript
@@ -31,15 +32,20 @@ EXTENSIONS = {"py": "python", "sh": "bash", "js": "javascript", "c": "c", "h": "
 #: How deep constructs may nest, and the calls that one of them may take.
 MAX_NESTING, FRAMES = 50_000, 16
 
-#: Tokens that are typical of a language; used only to rank the grammars.
+#: Tokens that are typical of a language; used only to rank the grammars.
 MARKS = {
-    "python": re.compile(r"^\s*(?:def |class |import |from \w+ import |elif |except|with ).*:?$|\bself\b|\bNone\b|\"\"\"", re.M),
-    "bash": re.compile(r"^#!.*sh\b|\bfi\b|\bdone\b|\bthen\b|\$\{?\w|\besac\b|^\w+\(\) \{", re.M),
-    "javascript": re.compile(r"\bfunction\b|\bconst\b|\blet\b|=>|===|\bvar\b|\brequire\(", re.M),
-    "c": re.compile(r"^\s*#\s*(?:include|define|ifdef|endif)|\bstruct\b|\bint\b|->|\bvoid\b|\bstatic\b", re.M),
-    "go": re.compile(r"^package \w+|\bfunc\b|:=|\bfmt\.|\brange\b|\bdefer\b", re.M),
-    "json": re.compile(r"^\s*[{\[]\s*$|^\s*\"[^\"\n]*\"\s*:|^\s*[}\]],?\s*$", re.M),
+    "python": "def class import from elif except with self None True False lambda pass raise \"\"\"",
+    "bash": "fi done then esac elif echo local export $ ${ $( #!",
+    "javascript": "function const let var require => === !== typeof undefined null async await",
+    "c": "#include #define #ifdef #ifndef #endif struct int void static char unsigned sizeof ->",
+    "go": "package func := fmt range defer chan interface nil import",
+    "json": "\":",
 }
+_TOKEN = re.compile(r"[A-Za-z]\w*|\":|\"\"\"|=>|[=!]==|:=|->|\$[{(]?|#!|#[a-z]+")
+_MARKED: dict[str, list[str]] = {}
+for _language, _tokens in MARKS.items():
+    for _token in _tokens.split():
+        _MARKED.setdefault(_token, []).append(_language)
 
 
 def language_of(path: str | None) -> str | None:
@@ -51,7 +57,11 @@ def language_of(path: str | None) -> str | None:
 
 def rank(text: str) -> list[str]:
     """All languages, the likeliest by its typical tokens first."""
-    return sorted(GRAMMARS, key=lambda g: -len(MARKS[g].findall(text)))
+    score = dict.fromkeys(GRAMMARS, 0)
+    for token, n in Counter(_TOKEN.findall(text)).items():
+        for language in _MARKED.get(token, ()):
+            score[language] += n
+    return sorted(GRAMMARS, key=lambda g: -score[g])
 
 
 def obeys(text: str, language: str) -> bool:
