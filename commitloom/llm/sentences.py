@@ -3,8 +3,8 @@
 Lines are told apart first: running prose may be wrapped over several lines,
 every other line (headings, list items, logs, code, trailers) is one sentence.
 Within prose the Unicode sentence-break classes find every terminator of every
-script; abbreviations, initials, ordinals and ellipses suppress a break, and
-brackets and quotations that open before a terminator decide whether the
+script; abbreviations of the language, initials, ordinals and ellipses suppress a
+break, and brackets and quotations that open before a terminator decide whether the
 sentence goes on after they close.
 """
 
@@ -17,12 +17,43 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Abbreviations that never end a sentence, whatever follows.
-ALWAYS = frozenset(
-    "e.g i.e cf vs ca approx sec fig figs eq ch chap vol ed eds pp mr mrs ms dr prof st mt messrs al viz resp ref refs ver est jan feb apr jun jul aug sept sep oct nov dec "
-    "z.b d.h u.a o.ä bzw ggf evtl inkl nr str hr fr abs bd vgl sog ehem env p.ex mme mlle mm art sr sra dr dra ud uds pág págs aprox p.ej núm ej "
-    "т.е т.к т.н ок рис см стр им ул г-н г-жа напр др.рис डॉ श्री د".split()
-)
+#: Abbreviations that never end a sentence, by language; those under "all" are used across languages.
+ABBREVIATIONS = {
+    "all": "e.g i.e cf vs al fig figs dr prof mr mrs ms jan feb apr jun jul aug sept sep oct nov dec",
+    "en": "ca approx sec eq chap vol pp st mt messrs viz resp gen col lt sgt capt rev hon gov sen",
+    "de": "z.b d.h u.a o.ä i.d.r bzw ggf evtl inkl exkl ca nr str hr fr abs bd vgl sog ehem art st ing dipl aufl hrsg mio mrd tel",
+    "fr": "p.ex env mm mme mmes mlle mlles art chap vol éd av bd st ste ca",
+    "es": "sr sres sra sras srta dra ud uds pág págs aprox p.ej núm art ej cap vol avda ca",
+    "it": "sig sig.ra dott pag pagg art cap ecc es vol",
+    "pt": "sr sra dra pág págs art ex núm vol av",
+    "nl": "bijv blz d.w.z dhr mevr nr o.a art ca enz",
+    "ru": "т.е т.к т.н ок рис см стр им ул г-н г-жа напр др.рис гл проф акад",
+    "hi": "डॉ श्री",
+    "ar": "د",
+}
+#: Function words that tell the languages of Latin script.
+FUNCTION_WORDS = {
+    "en": "the and of to is was are that this with for it in on be not as by from which you have has i he she they we his her did when then",
+    "de": "der die das und ist nicht mit ein eine den dem des auf für zu von es im wird bei auch nach sich ich",
+    "fr": "le la les et des est une dans pour pas que qui sur avec du au ne ce cette il par nous vous",
+    "es": "el la los las y de que en un una es por con para se del lo como más pero su este está",
+    "it": "il lo gli e di che non per una con sono della del nel alla si è anche",
+    "pt": "o os e de que não uma para com em da dos das é mais foi",
+    "nl": "de het een en van is niet dat met op voor zijn te aan ook naar wordt bij",
+}
+#: Letters that tell them too.
+LETTERS = {"de": "äöüß", "fr": "àâçèéêëîïôùûœ", "es": "áéíóúñ¿¡", "it": "àèéìòù", "pt": "áâãçéêíóôõú"}
+_LANGUAGES: dict[str, set[str]] = {}
+for _language, _words in ABBREVIATIONS.items():
+    for _word in _words.split():
+        _LANGUAGES.setdefault(_word, set()).add(_language)
+_TELLS: dict[str, set[str]] = {}
+for _language, _words in FUNCTION_WORDS.items():
+    for _word in _words.split():
+        _TELLS.setdefault(_word, set()).add(_language)
+for _language, _letters in LETTERS.items():
+    for _letter in _letters:
+        _TELLS.setdefault(_letter, set()).add(_language)
 #: Abbreviations that suppress a break only before a number.
 BEFORE_NUMBER = frozenset("v n s no nos nr p art para max min vol num fig sec".split())
 #: Abbreviations that suppress a break unless a capital, a digit or a quote follows.
@@ -44,6 +75,8 @@ BRACKETS = frozenset("([{（［｛【〔")
 WIDE = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]")
 #: Scripts in which blanks part sentences, as nothing else does.
 UNMARKED = regex.compile(r"[\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}]")
+#: Characters before an abbreviation, and half as many after it, whose words tell its language.
+AROUND = 120
 #: Characters of a line from which on it may be wrapped, in scripts without blanks between words.
 WRAPPED = 100
 ALNUM = regex.compile(r"[\p{L}\p{N}]")
@@ -54,7 +87,7 @@ WORD_BEFORE = regex.compile(r"(?:(?<![\p{L}\p{M}\p{N}_.\-])\p{L}{1,2}\.\s{0,2})*
 QUOTED = regex.compile(r"[ \t]*(?:>[ \t]?)+")
 CHAT = regex.compile(r"[ \t]*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?[ \t]+)(?:<[^<>\s]{1,40}>|\*|[\w.\-]{1,30}:)[ \t]+|[ \t]*<[A-Za-z][\w.\-|\[\]`^]{0,30}>[ \t]+(?=\S)")
 ITEM = regex.compile(r"[ \t]*(?:[-*+•‣–][ \t]+|\(?\d{1,3}[.)][ \t]+|\(?[a-zA-Z][)][ \t]+)(?=\S)")
-NUMBERED_HEADING = regex.compile(r"\d{1,3}(?:\.\d{1,3})+\.?[ \t]+\p{Lu}[^.!?。]*$")
+NUMBERED_HEADING = regex.compile(r"\d{1,3}+(?:\.\d{1,3}+)++\.?[ \t]+\p{Lu}[^.!?。]*$")
 MARKED_HEADING = regex.compile(r"#{1,6}[ \t]+\S")
 UNDERLINE = regex.compile(r"[ \t]*([=\-~^\"#*+])\1{2,}[ \t]*$")
 LOG = regex.compile(r"[ \t]*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?\S*|\w{3} [ \d]\d \d\d:\d\d:\d\d|\[\d{2}:\d{2}:\d{2}\])[ \t]+\S")
@@ -71,6 +104,9 @@ _LOWER = regex.compile(r"\p{Ll}+")
 _UNIT = regex.compile(r"\d[\s\u00a0]?\p{Ll}$")
 _LETTERS = regex.compile(r"\p{L}+")
 _BEGINS = regex.compile(r"\p{L}|[\p{Ps}\p{Pi}\"¿¡]|\p{N}")
+_TELLING = regex.compile(r"\p{L}+|[¿¡]")
+_MARKED_LETTER = regex.compile("[" + "".join(sorted(set("".join(LETTERS.values())))) + "]")
+_OTHER_SCRIPT = regex.compile(r"(?P<ru>\p{Script=Cyrillic})|(?P<hi>\p{Script=Devanagari})|(?P<ar>\p{Script=Arabic})")
 _CASELESS = regex.compile(r"\p{Lo}")
 _REPEATS = regex.compile(r"ๆ|ฯ")
 _LINE_END = regex.compile(r"(\r\n|\n|\r|\u2028|\u2029|\x85)")
@@ -99,7 +135,7 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
         lines.append((at, at + len(pieces[i])))
         at += len(pieces[i]) + (len(pieces[i + 1]) if i + 1 < len(pieces) else 0)
     run: list[int] | None = None  # prose that may go on
-    depth = 0
+    depth, last, tail = 0, "", ""  # of that prose the last line, and the last line with words and what follows it
     for i, (a, b) in enumerate(lines):
         line = text[a:b]
         if not ALNUM.search(line):
@@ -108,12 +144,13 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
                 continue
             run[1] = b  # closing marks alone on a line
             out[-1] = (run[0], b, False)
+            last, tail = line, f"{tail}\n{line}"
             continue
         following = text[lines[i + 1][0] : lines[i + 1][1]] if i + 1 < len(lines) else None
         mark = QUOTED.match(line)
         level = mark.group().count(">") if mark else 0
-        so_far = text[run[0] : run[1]] if run else ""
-        going = run is not None and level == depth and not FINISHED.search(so_far) and not _unmarked_tail(so_far)
+        unmarked = run is not None and _unmarked_tail(last)
+        going = run is not None and level == depth and not unmarked and not FINISHED.search(tail)
         kind = _kind(line, following, going)
         if kind == "line":
             out.append((a, b, True))
@@ -121,24 +158,63 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
         elif kind == "chat":
             out.append((a, b, False))
             run = [a, b]
-        elif run is not None and level == depth and (going or (not level and not _unmarked_tail(so_far))):
+        elif run is not None and level == depth and (going or (not level and not unmarked)):
             run[1] = b
             out[-1] = (run[0], b, False)
         else:
             out.append((a, b, False))
             run = [a, b]
-        depth = level
+        depth, last, tail = level, line, line
     return out
 
 
-def _unmarked_tail(text: str) -> bool:
-    """Whether the last line ends a sentence without a mark: in a script without terminators, or a short line of one without blanks."""
-    line = text.rsplit("\n", 1)[-1].rstrip()
+def _unmarked_tail(line: str) -> bool:
+    """Whether a line ends a sentence without a mark: in a script without terminators, or a short line of one without blanks."""
+    line = line.rstrip()
     return bool(UNMARKED.search(line.rsplit(" ", 1)[-1])) or (len(line) < WRAPPED and WIDE.match(line[-1:]) is not None)
 
 
-def _breaks_after(text: str, start: int, mark: str, at: int, nxt: int, end: int) -> bool:
+def languages(text: str, start: int, end: int) -> set[str]:
+    """The languages that a stretch may be in: that of most function words and letters, and those of half as many; none if it has fewer than two."""
+    found: dict[str, int] = {}
+    for w in [*_TELLING.findall(text, start, end), *_MARKED_LETTER.findall(text, start, end)]:
+        for language in _TELLS.get(w.lower(), ()):
+            found[language] = found.get(language, 0) + 1
+    most = max(found.values(), default=0)
+    if most < 2:
+        return set()
+    return {language for language, n in found.items() if 2 * n >= most}
+
+
+class Stretch:
+    """A run of prose within a text, and its language, which is found only when an abbreviation asks for it."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end = text, start, end
+        self._known: set[str] | None = None
+
+    def abbreviates(self, word: str, begin: int, at: int) -> bool:
+        """Whether the word before ``at``, in a sentence from ``begin`` on, is an abbreviation of the language there.
+
+        The words around it tell the language, else those of the run, else
+        those of the text; if nothing does, it is one of any language.
+        """
+        used = _LANGUAGES.get(word)
+        if not used:
+            return False
+        if "all" in used or _OTHER_SCRIPT.match(word):
+            return True
+        here = languages(self.text, max(begin, at - AROUND), min(at + AROUND // 2, self.end))
+        if not here:
+            if self._known is None:
+                self._known = languages(self.text, self.start, self.end) or languages(self.text, 0, len(self.text))
+            here = self._known
+        return not here or not used.isdisjoint(here)
+
+
+def _breaks_after(stretch: Stretch, start: int, mark: str, at: int, nxt: int, end: int) -> bool:
     """Whether a sentence ends with the terminator ``mark`` that begins at ``at``; what follows begins at ``nxt``."""
+    text = stretch.text
     if nxt >= end:
         return True
     after = text[nxt]
@@ -158,7 +234,7 @@ def _breaks_after(text: str, start: int, mark: str, at: int, nxt: int, end: int)
         if low in UNLESS_CAPITAL:
             w = _LOWER.match(text, nxt, end)
             return not (w and (w.group() in GOES_ON or not low.isascii()))
-        if low in ALWAYS or last.lower() in ALWAYS or any(".".join(parts[i:]).lower() in ALWAYS for i in range(len(parts) - 1)):
+        if any(stretch.abbreviates(".".join(parts[i:]).lower(), start, at) for i in range(len(parts))):
             return False
         if last.lower() in BEFORE_NUMBER and after.isdigit():
             return False
@@ -200,13 +276,23 @@ def split_prose(text: str, start: int, end: int) -> list[tuple[int, int]]:
     stack: list[tuple[str, int]] = []  # closing mark wanted, place of the opening one
     pos, begin = head, head  # begin: where the words of this sentence begin
 
-    event = EVENT if UNMARKED.search(text, start, end) else MARK
+    stretch = Stretch(text, start, end)
+    unmarked = UNMARKED.search(text, begin, end)
+    event = EVENT if unmarked else MARK
+    closing: dict[str, int] = {}  # where each closing mark stands last
 
     def emit(stop: int, following: int) -> None:
-        nonlocal first, begin, stack
+        nonlocal first, begin, stack, unmarked
         out.append((first, stop))
         first = begin = following
         stack = []
+        if unmarked and unmarked.start() < begin:
+            unmarked = UNMARKED.search(text, begin, end)
+
+    def closes(mark: str, at: int) -> bool:
+        if mark not in closing:
+            closing[mark] = text.rfind(mark, start, end)
+        return closing[mark] >= at
 
     while pos < end:
         m = event.search(text, pos, end)
@@ -234,7 +320,7 @@ def split_prose(text: str, start: int, end: int) -> list[tuple[int, int]]:
                 while stack and stack.pop()[0] != c:
                     pass
         elif kind == "blank":
-            if not stack and UNMARKED.search(text, begin, at) and _unmarked_break(text, begin, at, pos, end):
+            if not stack and unmarked and unmarked.start() < at and (pos >= end or not _REPEATS.match(text, pos, end)):
                 emit(at, pos)
         else:
             mark = m.group().lstrip(" \u00a0\u202f")
@@ -268,7 +354,7 @@ def split_prose(text: str, start: int, end: int) -> list[tuple[int, int]]:
             if balance and inner:
                 # still inside: an end only if that never closes, or if sentences fill a bracket of their own
                 alone = len(balance) == 1 and text[balance[0][1]] in BRACKETS and not ALNUM.search(text, begin, balance[0][1]) and not closers
-                if not alone and any(_closes(text, w, stop, end) for w, _ in balance):
+                if not alone and any(closes(w, stop) for w, _ in balance):
                     stack = balance if closed else stack
                     pos = max(pos, stop)
                     continue
@@ -286,7 +372,7 @@ def split_prose(text: str, start: int, end: int) -> list[tuple[int, int]]:
                 emit(stop, nxt)
                 pos = nxt
                 continue
-            if not _breaks_after(text, begin, mark, at, nxt, end):
+            if not _breaks_after(stretch, begin, mark, at, nxt, end):
                 continue
             emit(stop, nxt)
             pos = nxt
@@ -295,15 +381,6 @@ def split_prose(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def _closes(text: str, mark: str, at: int, end: int) -> bool:
-    return text.find(mark, at, end) >= 0
-
-
-def _unmarked_break(text: str, begin: int, at: int, nxt: int, end: int) -> bool:
-    """Whether a blank in a script without terminators parts two sentences."""
-    return nxt >= end or UNMARKED.search(text, begin, at) is not None and not _REPEATS.match(text, nxt, end)
-
-
 def _quote_breaks(text: str, opened: int, bracket: bool, alone: bool, stop: int, nxt: int, end: int) -> bool:
     """Whether the sentence ends with a quotation or bracket that closed after a terminator."""
     if nxt >= end:
@@ -343,8 +420,9 @@ def split_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """``doc_id, start_pos, end_pos``: one row per sentence of each document.
 
     Null, empty and blank texts give no rows.  Texts are split whole, whatever
-    their length; language columns are not used, as they may be wrong: scripts
-    and words tell.  Repeated rows give repeated sentences; other columns are
+    their length, in time that grows with it; language columns are not used, as
+    they may be wrong: script, letters and function words round each abbreviation
+    tell, those of the run of prose or the whole text where there are none.  Repeated rows give repeated sentences; other columns are
     ignored, whatever their names.
     """
 

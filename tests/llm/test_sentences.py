@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from commitloom.llm.sentences import sentences, split_documents
@@ -73,3 +75,25 @@ def test_empty_and_long(spark):
     rows = sorted(tuple(r) for r in split_documents(df).collect())
     assert rows == [(1, 0, 5), (1, 0, 5)] or len(rows) in (2, 4)
     assert split_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("He studies modern art. She left.", ["He studies modern art.", "She left."]),
+        ("I did 100 abs. Then I slept.", ["I did 100 abs.", "Then I slept."]),
+        ("See the ref. It is good.", ["See the ref.", "It is good."]),
+        ("Nach Art. Fünf und Abs. Zwei der Verordnung ist das so. Gut.", ["Nach Art. Fünf und Abs. Zwei der Verordnung ist das so.", "Gut."]),
+        ("Il faut voir le chap. Trois du livre. Merci.", ["Il faut voir le chap. Trois du livre.", "Merci."]),
+    ],
+)
+def test_abbreviations_are_those_of_the_language(text, want):
+    assert [text[a:b] for a, b in sentences(text)] == want
+
+
+def test_time_grows_with_the_text():
+    texts = ["\n".join(["and so the words of this line go on without an end to be seen"] * 16_000), "1.2.3." * 50_000, '" a b. ' * 20_000, "( a b. " * 20_000, "abc def " * 50_000 + "ไทย", "a.\n" + ")\n" * 20_000, "e.g. Art. 3 " * 5_000]
+    for text in texts:
+        start = time.perf_counter()
+        sentences(text)
+        assert time.perf_counter() - start < 3
