@@ -7,7 +7,8 @@ initial and surname, or into the core of an organisation's name, and linked:
    tokens are sharded by the deletion variants of their prefixes, every shard
    is a trie, and a Levenshtein automaton (with transpositions) walks it for
    every token of the shard;
-2. names whose tokens match, in any order, become candidates;
+2. names whose tokens match, in any order, become candidates: one of given name
+   and surname alike within the distance, the other the same;
 3. an exact check settles each candidate with what else is known: shared
    account ids, the name in the email, and how often each form occurs.
 """
@@ -32,6 +33,11 @@ PREFIX = 6
 #: Tokens in one trie; larger shards are split into blocks and every token asks each of them.
 BLOCK = 2000
 
+#: A given name of at most this many surnames, of a tenth of those of the other, or with half of its surnames in common with the other, may be a misspelt or short form of it.
+RARE_GIVEN = 2
+#: What a longer given name may have more than a shorter one and be another name.
+OTHER_ENDINGS = frozenset("a e o i y s le lle na ne nne ia ina ine ette ita son".split())
+
 #: Common given names with short forms that are no prefix of typing errors.
 SHORT_FORMS = {
     "alexander": "alex sasha sandy xander", "amara": "", "andre": "", "anthony": "tony ant", "astrid": "", "benjamin": "ben benny benji", "bjorn": "", "chiara": "",
@@ -142,7 +148,7 @@ def given_names(word: str) -> tuple[list[str], int]:
         if word in _GIVEN:
             _KNOWN[word] = [_GIVEN[word]], 0
         else:
-            near = [(d, _GIVEN[w]) for w, d in _GIVEN_TRIE.near(word, edits_for(len(word)) or int(len(word) == 3)) if len(w) >= 4]
+            near = [(d, _GIVEN[w]) for w, d in _GIVEN_TRIE.near(word, edits_for(len(word)) or int(len(word) == 3)) if len(w) >= 4 and not (word.startswith(w) and len(word) > len(w) + 1 and word[len(w) :] in OTHER_ENDINGS)]
             least = min(near)[0] if near else 9
             _KNOWN[word] = sorted({g for d, g in near if d == least}), least
     return _KNOWN[word]
@@ -174,11 +180,12 @@ def parse_name(name: str) -> list[tuple]:
             if tail:
                 cls, w = tail, w[: -len(tail)]
             core.append(w)
-        return [("org", "org", "", skeleton("".join(core)) or "ci", cls, 0)]
+        return [("org", "org", "", skeleton("".join(core or words)), cls, 0)]
     comma = re.match(r"\s*([^,]+),\s*(.+)", _NICK.sub(" ", text))
     if len(words) == 1:
         w = words[0]
-        return [("initial", "", w[0], skeleton(w[1:]), "", 0)] if len(w) >= 5 else [("other", "", "", skeleton(w), "", 0)]
+        account = len(w) >= 5 and name == name.lower()  # an initial and a surname in one, as in the names of accounts
+        return [("initial", "", w[0], skeleton(w[1:]), "", 0)] if account else [("other", "", "", skeleton(w), "", 0)]
     if comma:
         last, first = _WORDS.findall(comma[1]), _WORDS.findall(comma[2])
         if last and first:
@@ -241,7 +248,9 @@ def trie_join(tokens: DataFrame) -> DataFrame:
     sized = spreads.join(sizes, "shard")
     index = sized.select("shard", F.pmod(F.xxhash64("token"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "token")
     asked = sized.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "token")
-    both = index.unionAll(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "role")
+    # a fixed number of parts: by their bytes these would be merged into one or two tasks, but they take much time
+    parts = max(tokens.sparkSession.sparkContext.defaultParallelism * 3, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = index.unionAll(asked).repartition(parts, "shard", "block").sortWithinPartitions("shard", "block", "role")
     return both.mapInPandas(walk, "a string, b string, d int").distinct()
 
 
@@ -253,6 +262,20 @@ def _parsed(names: DataFrame) -> DataFrame:
     return names.select("name").mapInPandas(run, "name string, kind string, given string, initial string, surname string, cls string, ord int")
 
 
+def short_forms(given: DataFrame) -> DataFrame:
+    """``a, b``: given names (column ``token``) and the shorter ones that they begin or end with, as in Chukwuemeka and Emeka.
+
+    Those that differ by an ending that makes another name (Daniel, Danielle) are left out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(t, t[:k]) for t in f["token"] for k in range(3, len(t) - 1) if t[k:] not in OTHER_ENDINGS] + [(t, t[k:]) for t in f["token"] for k in range(2, len(t) - 3)]
+            yield pd.DataFrame(rows, columns=["a", "b"])
+
+    return given.mapInPandas(run, "a string, b string").join(given.select(F.col("token").alias("b")), "b", "left_semi").distinct()
+
+
 def _email_names(clues: DataFrame) -> DataFrame:
     """``name, hint``: the folded letters before the @ of each email that goes with a spelling."""
 
@@ -294,11 +317,26 @@ def link_names(names: DataFrame, clues: DataFrame) -> DataFrame:
     own_form = first.select("name", F.concat_ws("|", "kind", "given", "surname").alias("c"))
     other = parsed.filter("kind = 'full' and ord > 0").join(own_form, "name").select("c", "given", F.col("surname").alias("a")).distinct()
     turned = other.join(near.filter("d <= 1"), "a").join(p, ["given", "b"]).join(c.select("c", "cn", "ccls", "cjoin"), "c").filter("c <> p and (pn > cn or (pn = cn and p < c))").withColumn("d", F.col("d") + 1)
-    pairs = pairs.select("c", "p", "d", "cn", "pn", "cjoin", "pjoin").unionByName(turned.select("c", "p", "d", "cn", "pn", "cjoin", "pjoin"))
-    pairs = cut(pairs.groupBy("c", "p", "cn", "pn", "cjoin", "pjoin").agg(F.min("d").alias("d")).join(forms.select(F.col("form").alias("c"), "spellings"), "c"))
+    # the same surname, given names within the distance or one a part of the other; two given names that many people have are two
+    given = cut(forms.filter("kind = 'full' and given <> ''").groupBy(F.col("given").alias("token")).agg(F.count_distinct("surname").alias("surnames")))
+    like = trie_join(given).unionByName(short_forms(given.select("token")).withColumn("d", F.lit(1))).groupBy("a", "b").agg(F.min("d").alias("d"))
+    like = like.unionByName(like.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
+    many = given.select(F.col("token").alias("a"), F.col("surnames").alias("na")), given.select(F.col("token").alias("b"), F.col("surnames").alias("nb"))
+    fewer, more = F.least("na", "nb"), F.greatest("na", "nb")
+    ended = F.when(F.col("a").startswith(F.col("b")), F.substr("a", F.length("b") + 1)).when(F.col("b").startswith(F.col("a")), F.substr("b", F.length("a") + 1)).isin(*OTHER_ENDINGS)
+    like = cut(like.join(many[0], "a").join(many[1], "b").withColumn("rare", (fewer <= RARE_GIVEN) | (fewer * 10 <= more)).select(F.col("a").alias("given"), F.col("b").alias("g2"), "d", "rare", fewer.alias("fewer"), F.coalesce(ended, F.lit(False)).alias("ended")))
+    people_ = forms.filter("kind = 'full'")
+    c2 = people_.select(F.col("form").alias("c"), "given", "surname", F.col("n").alias("cn"), joined.alias("cjoin"))
+    p2 = people_.select(F.col("form").alias("p"), F.col("given").alias("g2"), "surname", F.col("n").alias("pn"), joined.alias("pjoin"))
+    met = cut(c2.join(like, "given").join(p2, ["g2", "surname"]))
+    shared = met.groupBy("given", "g2").agg(F.count_distinct("surname").alias("shared"))  # a variant has the surnames of the name that it is one of
+    respelt = met.join(shared, ["given", "g2"]).withColumn("rare", (F.col("rare") | (2 * F.col("shared") >= F.col("fewer"))) & ~F.col("ended")).filter("pn > cn or (pn = cn and p < c)")
+    cols = ["c", "p", "d", "cn", "pn", "cjoin", "pjoin", "rare"]
+    pairs = pairs.withColumn("rare", F.lit(True)).select(cols).unionByName(turned.withColumn("rare", F.lit(True)).select(cols)).unionByName(respelt.select(cols))
+    pairs = cut(pairs.groupBy("c", "p", "cn", "pn", "cjoin", "pjoin").agg(F.min("d").alias("d"), F.bool_or("rare").alias("rare")).join(forms.select(F.col("form").alias("c"), "spellings"), "c"))
     pairs = _with_clues(pairs, accounts, hints)
     # two full forms are the same name if one edit apart, else if a clue says so or the rarer one, written in one way only, has no email of its own
-    sure = pairs.filter("d = 1 or same_account or hinted or (not own and spellings = 1 and cn * 2 <= pn)")
+    sure = pairs.filter("same_account or hinted or (rare and (d = 1 or (not own and spellings = 1 and cn * 2 <= pn)))")
     best = Window.partitionBy("c").orderBy(F.col("same_account").desc(), F.col("hinted").desc(), "d", F.col("pn").desc(), "p")
     up = sure.withColumn("r", F.row_number().over(best)).filter("r = 1").select("c", "p")
     roots = _roots(forms.select("form"), up)
@@ -312,6 +350,14 @@ def link_names(names: DataFrame, clues: DataFrame) -> DataFrame:
     fits = fits.groupBy("c", "root").agg(F.max("score").alias("score"))
     top = Window.partitionBy("c")
     chosen = fits.withColumn("most", F.max("score").over(top)).filter("score = most").withColumn("k", F.count(F.lit(1)).over(top)).filter("k = 1").select(F.col("c").alias("form"), "root")
+    # those that fit no full form are linked with each other: the same initial, surnames one edit apart or an account in common
+    alone = cut(by_name.filter("kind = 'initial'").join(known, "name").groupBy("form").agg(F.sum("n").alias("n")).join(chosen.select("form"), "form", "left_anti").withColumn("initial", F.split("form", r"\|")[1]).withColumn("surname", F.split("form", r"\|")[2]))
+    ca = alone.select(F.col("form").alias("c"), "initial", F.col("surname").alias("a"), F.col("n").alias("cn"), F.lit("").alias("cjoin"))
+    pa = alone.select(F.col("form").alias("p"), "initial", F.col("surname").alias("b"), F.col("n").alias("pn"), F.lit("").alias("pjoin"))
+    both = _with_clues(cut(ca.join(near.filter("d > 0"), "a").join(pa, ["initial", "b"]).filter("pn > cn or (pn = cn and p < c)").select("c", "p", "d", "pn", "cjoin", "pjoin")), accounts, hints).filter("d = 1 or same_account")
+    first_of = Window.partitionBy("c").orderBy(F.col("same_account").desc(), "d", F.col("pn").desc(), "p")
+    up = both.withColumn("r", F.row_number().over(first_of)).filter("r = 1").select("c", "p")
+    chosen = chosen.unionByName(_roots(alone.select("form"), up))
     entity = cut(by_name.join(roots.unionByName(chosen), "form", "left").select("name", F.coalesce("root", "form").alias("root")))
     stands = entity.join(known, "name").groupBy("root").agg(F.max_by("name", F.struct("n", "name")).alias("entity"))
     return cut(entity.join(stands, "root").select("name", "entity"))

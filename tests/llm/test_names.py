@@ -1,9 +1,12 @@
 import random
+from itertools import combinations
 
 import pytest
 
 from commitloom.llm import names as N
 
+from .test_pii import GIVEN, SURNAMES
+
 
 def test_trie_join_finds_all_pairs(spark):
     rng = random.Random(7)
@@ -64,3 +67,47 @@ def test_sources(spark):
     names, clues = N.repository_names(c, d)
     assert {r.name for r in names.collect()} == {'A "Al" B', "O", "P", "Q", "R", "S"}
     assert {(r.name, r.kind, r.clue) for r in clues.collect()} == {('A "Al" B', "email", "a@b"), ("O", "account", "1"), ("P", "account", "2"), ("R", "account", "3"), ("S", "account", "4")}
+
+
+def entities(spark, names, clues=()):
+    df = spark.createDataFrame([(n, 1) for n in names], "name string, n bigint")
+    known = spark.createDataFrame(list(clues), "name string, kind string, clue string")
+    return {r.name: r.entity for r in N.link_names(df, known).collect()}
+
+
+def test_names_outside_every_list(spark):
+    same = [("Siobhan Gallagher", "Siobahn Gallagher"), ("Rajeshwari Iyer", "Rajeswari Iyer"), ("Fatima Hassan", "Fatma Hassan"), ("Chukwuemeka Obi", "Emeka Obi"), ("Q. Zimmerman", "Q. Zimerman")]
+    other = [("Daniel Kim", "Danielle Kim"), ("Ada Kim", "Adam Kim"), ("Third Party CI", "Continuous Integration"), ("Bot Inc", "Company Ltd"), ("Smith", "Sam Mith"), ("Ngozi Obi", "Emeka Obi")]
+    got = entities(spark, sorted({n for pair in same + other for n in pair}))
+    assert [pair for pair in same if got[pair[0]] != got[pair[1]]] == []
+    assert [pair for pair in other if got[pair[0]] == got[pair[1]]] == []
+
+
+def test_two_given_names_that_many_people_have_are_two(spark):
+    got = entities(spark, [f"Mirela {s}" for s in SURNAMES[:8]] + [f"Mirella {s}" for s in SURNAMES[7:15]])
+    assert len(set(got.values())) == 16
+
+
+def test_held_out_people(spark):
+    rng = random.Random(12)
+    people = [(GIVEN[i % 40], SURNAMES[(i * 7 + i // 40) % 40]) for i in range(240)]
+    assert not any(N.skeleton(N.latin(g)) in N._GIVEN for g, _ in people)
+    spelt = {}
+    for n, (given, last) in enumerate(people):
+        at = rng.randrange(1, len(last) - 1)
+        forms = [f"{given} {last}", f"{given} {last[:at]}{last[at + 1:]}" if len(last) >= 7 else f"{given.upper()} {last.upper()}", f"{last}, {given}", f"{given} {rng.choice('BDFKT')}. {last}"]
+        at = rng.randrange(2, len(given) - 1)
+        forms.append(f"{given[:at]}{given[at + 1]}{given[at]}{given[at + 2:]} {last}" if len(given) >= 6 else f"{given.lower()} {last.lower()}")
+        if sum(g[0] == given[0] and s == last for g, s in people) == 1:
+            forms += [f"{given[0]}. {last}", f"{given[0]}{last}".lower().replace("'", "").replace("-", "")]
+        for f in forms:
+            spelt.setdefault(f, n)
+    got = entities(spark, list(spelt))
+    groups, truth = {}, {}
+    for name, n in spelt.items():
+        groups.setdefault(got[name], []).append(name)
+        truth.setdefault(n, []).append(name)
+    pairs = {p for v in groups.values() for p in combinations(sorted(v), 2)}
+    wanted = {p for v in truth.values() for p in combinations(sorted(v), 2)}
+    recall, precision = len(pairs & wanted) / len(wanted), len(pairs & wanted) / len(pairs)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision, sorted(wanted - pairs)[:400:9])
