@@ -40,8 +40,10 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     wanted = targets.filter("source is not null").groupBy("source").agg(F.greatest(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.greatest(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
     rows = wanted.join(have, "source", "left").fillna(0, ["available", "documents", "max_repeats"]).fillna(0.0, ["target_share"])
     able = F.when((F.col("target_share") > 0) & (F.col("available") > 0) & (F.col("max_repeats") > 0), F.col("available") * F.col("max_repeats") / F.col("target_share"))
-    size = F.lit(total_tokens).cast("double") if total_tokens is not None else F.min(able).over(Window.partitionBy(F.lit(1)))
-    rows = rows.withColumn("total", F.coalesce(size, F.lit(0.0)))
+    if total_tokens is None:
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.coalesce(F.min(able), F.lit(0.0)).alias("total"))))  # one row
+    else:
+        rows = rows.withColumn("total", F.lit(total_tokens).cast("double"))
     want = F.least(F.col("total") * F.col("target_share"), (F.col("available") * F.col("max_repeats")).cast("double"))
     return rows.withColumn("wanted", want).withColumn("rate", F.when(F.col("available") > 0, F.col("wanted") / F.col("available")).otherwise(0.0))
 
@@ -100,4 +102,5 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of ``targets``: target share, tokens and share reached, documents used and most copies of one."""
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     rows = targets.select("source", "target_share", "max_repeats").join(got, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
-    return rows.withColumn("share", F.round(F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy(F.lit(1))), F.lit(0)), 6))
+    every = got.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("tokens").alias("every"))  # one row
+    return rows.crossJoin(F.broadcast(every)).withColumn("share", F.round(F.col("tokens") / F.nullif("every", F.lit(0)), 6)).drop("every")

@@ -73,6 +73,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(table(spark, d, "documents"), targets), targets)
 
 
+def p8_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture with unequal inclusion: long documents count less."""
+    documents = table(spark, d, "documents").withColumn("weight", 1 / F.log(F.col("n_chars") + F.lit(3)))
+    return mix(documents, table(spark, d, "mix_targets"), weight_col="weight")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"))
 
@@ -85,6 +91,6 @@ def p9_per_source(spark: SparkSession, d: str) -> DataFrame:
     return per_doc.join(sources, "doc_id").groupBy("source").agg(F.sum("n").alias("sentences"), F.round(F.sum("chars") / F.sum("n"), 6).alias("mean_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_files, p3_rates, p5_found, p5_entities, p6_found, p6_redacted, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_per_source)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_files, p3_rates, p5_found, p5_entities, p6_found, p6_redacted, p7_found, p7_items, p8_mixture, p8_shares, p8_weighted, p9_found, p9_per_source)}
 
 ORACLE: dict[str, str] = {}

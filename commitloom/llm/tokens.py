@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the published pattern that parts text before byte-pair merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Characters of one call; longer texts are parted at line ends, which no token of letters spans.
+#: Characters after which a long text is parted for one call, where the pattern parts it anyway.
 PIECE = 200_000
+_PARTS = re.compile(r"(?<=\S)(?=\s)")
 
 _LOADED: dict[str, object] = {}
 
@@ -31,10 +33,22 @@ def encoding(path: str):
 
 
 def pieces(text: str) -> list[str]:
-    """The text in parts of bounded length, cut behind a line end where there is one."""
+    """The text in parts that have as many tokens as the whole.
+
+    It is cut between a character and the blank that follows it: no token of the
+    pattern goes on over that place, and none looks back over it.  What has no
+    such place stays one part, however long.
+    """
     out, at = [], 0
     while len(text) - at > PIECE:
-        stop = text.rfind("\n", at + 1, at + PIECE) + 1 or at + PIECE
+        stop = at + PIECE
+        while stop > at and not (text[stop].isspace() and not text[stop - 1].isspace()):
+            stop -= 1
+        if stop == at:
+            m = _PARTS.search(text, at + PIECE)
+            if not m:
+                break
+            stop = m.start()
         out.append(text[at:stop])
         at = stop
     return [*out, text[at:]]

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -62,3 +63,17 @@ def test_counting(spark):
     assert {r.i: r.n_tokens for r in n} == {1: len(encoding(VOCABULARY).encode_ordinary(text)), 2: 0}
     long = "ab cd\n" * 100_000
     assert "".join(pieces(long)) == long and max(map(len, pieces(long))) <= 200_000
+
+
+def test_parts_have_the_tokens_of_the_whole(monkeypatch):
+    from commitloom.llm import tokens
+
+    enc = tokens.encoding(tokens.VOCABULARY)
+    rng = random.Random(8)
+    monkeypatch.setattr(tokens, "PIECE", 40)
+    for _ in range(300):
+        text = "".join(rng.choice(["word", " ", "  ", "\n", "\t", " ", "x1", "...", "日本", "'s", "é", " \n"]) for _ in range(200))
+        parts = tokens.pieces(text)
+        assert "".join(parts) == text and len(parts) > 3
+        assert sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(text))
+    assert tokens.pieces("a" * 500) == ["a" * 500]
