@@ -32,6 +32,8 @@ EMAILS = (
     regex.compile(rf"{_LOCAL}(?:[ \t]?@[ \t]?|[ \t]*[\[({{<]at[\])}}>][ \t]*)(?P<host>{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}[A-Za-z]{{2,24}})(?![\w@]|\.\w)"),
     regex.compile(rf"{_LOCAL}[ \t]+at[ \t]+(?P<host>{_LABEL}(?:{_SPELLED}{_LABEL}){{0,4}}{_SPELLED}[A-Za-z]{{2,24}})(?![\w@]|\.\w)"),
 )
+_SPELT_AT = regex.compile(r"[ \t]at[ \t]")
+_BRACKETED_AT = regex.compile(r"[\[({<]at[\])}>]")
 #: Accounts of machines.
 MACHINES = frozenset("git root rabbit hg svn postgres mysql nobody daemon www-data ubuntu admin ssh hdfs".split())
 
@@ -119,7 +121,7 @@ CUE_BEFORE = regex.compile(
 CUE_AFTER = regex.compile(r"^(?:,?[ \t]*[<(\[]|[ \t]*[;|,\t][ \t]*)[^<>()\[\]\s;|,]+(?:@|[ ]?[\[({]at[\])}])|^,?[ \t]*(?:(?:wrote|writes|said|says|told|asked|reported|reports|thinks|noticed|confirmed|schrieb|escribió|ha scritto|a écrit|tel\.?|phone)\b)", regex.I)
 MAIL_AFTER = regex.compile(r"^[ \t]*[<(\[;|,][ \t]*(?P<local>[\w.+\-]+)(?:@|[ ]?[\[({<]at[\])}>])")
 WEAK_BEFORE = regex.compile(r"\b(?:by|from|with|and|to|for|of|von|par|por|da|di|et|und|y)[ \t]+$", regex.I)
-GREETING = regex.compile(r"(?:^|[\n.!?>][ \t]*)(?:dear|hi|hello|hey|thanks|thank you|cheers|regards|best|merci|gracias|danke|grazie)[,]?[ \t]*\n?[ \t]*$", regex.I)
+GREETED = regex.compile(r"(?:^|[\n.!?>][ \t]*)(?:dear|hi|hello|hey|thanks|thank you|cheers|regards|best|merci|gracias|danke|grazie)(?:,|\b)[ \t]*\n?[ \t]*", regex.I)
 #: Small words inside names, and words in capitals that tell that something else than a person is named.
 PARTICLES = frozenset("de da di do dos das del della der den van von zu la le el al bin ibn ben y e".split())
 NO_PERSON = frozenset("team project manager server service group department support release core engine driver api cloud linux windows ubuntu debian fedora foundation list lists community committee board office bank university institute college school hospital street road monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december north south east west new old red open free big small english german french spanish italian chinese sir madam folks everyone guys there people you hi hello hey dear thanks cheers regards best contact ask tell ping thank copy from reported according".split()) | frozenset(ORGANISATION)
@@ -167,7 +169,8 @@ def _clause(before: str) -> str:
 
 
 def _emails(text: str) -> Iterator[tuple[float, int, int, str]]:
-    for m in (m for e in EMAILS for m in e.finditer(text)):
+    signed = "@" in text or _BRACKETED_AT.search(text) is not None
+    for m in (m for e, may in zip(EMAILS, (signed, _SPELT_AT.search(text))) if may for m in e.finditer(text)):
         score = 0.9
         after = text[m.end() : m.end() + 2]
         if m["local"].lower() in MACHINES:
@@ -280,23 +283,34 @@ def _names(text: str) -> Iterator[tuple[float, int, int, str]]:
         i += used
 
 
-def _ordinary(word: str, lower: frozenset[str]) -> bool:
-    """Whether a word in capitals is an ordinary one: a common one, or one that the same text also writes small."""
-    w = word.lower()
-    return w in _COMMON or w in NO_PERSON or w in lower
+class _Words:
+    """Which words of a text are ordinary ones; what it writes small is looked up only when asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.small: frozenset[str] | None = None
+
+    def ordinary(self, word: str) -> bool:
+        """Whether a word in capitals is a common one, or one that the same text also writes small."""
+        w = word.lower()
+        if w in _COMMON or w in NO_PERSON:
+            return True
+        if self.small is None:
+            self.small = frozenset(_SMALL.findall(self.text))
+        return w in self.small
 
 
 def _shaped(text: str) -> Iterator[tuple[float, int, int, str]]:
     """Names that no list knows: two or more words in capitals whose surroundings speak of a person, and their repetitions."""
-    lower = frozenset(w for w in _SMALL.findall(text))
+    ordinary = _Words(text).ordinary
     sure: set[str] = set()
     found = []
     for m in SHAPED.finditer(text):
         a, b = m.span()
         parts = [(p.group(), a + p.start(), a + p.end()) for p in _PIECES.finditer(m.group())]
-        while parts and (_ordinary(parts[0][0], lower) or parts[0][0] in PARTICLES):
+        while parts and (parts[0][0] in PARTICLES or ordinary(parts[0][0])):
             parts.pop(0)  # the word that begins the sentence
-        stop = next((i for i, p in enumerate(parts) if p[0] not in PARTICLES and not p[0].endswith(".") and (_ordinary(p[0], lower) or (i > 1 and (p[0].lower() in WORDLIKE or _VERB.match(text, p[1]))))), len(parts))
+        stop = next((i for i, p in enumerate(parts) if p[0] not in PARTICLES and not p[0].endswith(".") and (ordinary(p[0]) or (i > 1 and (p[0].lower() in WORDLIKE or _VERB.match(text, p[1]))))), len(parts))
         parts = parts[:stop]
         while parts and (parts[-1][0] in PARTICLES or parts[-1][0].endswith(".")):
             parts.pop()
@@ -313,19 +327,21 @@ def _shaped(text: str) -> Iterator[tuple[float, int, int, str]]:
     for shape in (TURNED, CAPITALS):
         for m in shape.finditer(text):
             a, b = m.span()
-            if not any(_ordinary(p, lower) for p in _LETTERS.findall(m.group())):
+            if not any(ordinary(p) for p in _LETTERS.findall(m.group())):
                 before, after = _near(text, a, b)
                 found.append((0.2 + 0.4 * bool(CUE_BEFORE.search(before)) + 0.35 * bool(CUE_AFTER.search(after)), a, b))
     for score, a, b in found:
         if score >= THRESHOLD or text[a:b] in sure:
             yield max(score, THRESHOLD), a, b, "NAME"
-    for m in ALONE.finditer(text):
-        if not _ordinary(m.group(), lower) and GREETING.search(text[max(0, m.start() - NEAR) : m.start()]):
-            yield 0.55, m.start(), m.end(), "NAME"
-    for m in BEFORE_MAIL.finditer(text):
-        mail = MAIL_AFTER.match(text[m.end() : m.end() + 2 * NEAR])
-        if mail and not _ordinary(m.group(), lower) and latin(m.group()) in mail["local"].lower():
+    for g in GREETED.finditer(text):
+        m = ALONE.match(text, g.end())
+        if m and not ordinary(m.group()):
             yield 0.55, m.start(), m.end(), "NAME"
+    if "@" in text or "at" in text:
+        for m in BEFORE_MAIL.finditer(text):
+            mail = MAIL_AFTER.match(text[m.end() : m.end() + 2 * NEAR])
+            if mail and not ordinary(m.group()) and latin(m.group()) in mail["local"].lower():
+                yield 0.55, m.start(), m.end(), "NAME"
 
 
 _LETTERS = regex.compile(r"[\p{L}'’]+(?!\.)")
