@@ -28,7 +28,7 @@ def bug_fix_commits(links: DataFrame, bugs: DataFrame, **limits: object) -> Data
 
 def is_merge(commit: DataFrame) -> Column:
     """Whether a commit on the mainline of master merges others."""
-    return commit["on_master_branch"] & commit["on_mainline"] & (F.size(commit["parents"]) >= 2)
+    return commit["on_master_branch"] & commit["on_mainline"] & (F.coalesce(F.size(commit["parents"]), F.lit(0)) >= 2)
 
 
 def fix_weight(weights: Column, level: str) -> Column:
@@ -51,43 +51,89 @@ def legacy_cutoff(rows: DataFrame, has_mark: Column, date: Column) -> DataFrame:
     return ends.select(F.when(F.col("last_without").isNull() | (F.col("first_with") > F.col("last_without")), F.col("first_with") - 1).otherwise(F.col("last_without")).alias("cutoff"))
 
 
-def classify(commits: DataFrame, closure_stats: DataFrame, fixes: DataFrame) -> DataFrame:
-    """``cid, kind``: how a mainline commit is treated.
+def side_stats(closure: DataFrame, commits: DataFrame, links: DataFrame) -> DataFrame:
+    """``merge, changes, bugs``: how many distinct changes and bugs (of ``links``) the commits that a merge brought in have."""
+    changes = closure.join(commits.select(F.col("cid").alias("node"), "change_id"), "node").groupBy("merge").agg(F.count_distinct("change_id").alias("changes"))
+    bugs = closure.join(links.select(F.col("cid").alias("node"), "bug_id"), "node").groupBy("merge").agg(F.count_distinct("bug_id").alias("bugs"))
+    return changes.join(bugs, "merge", "left").fillna(0, ["bugs"])
 
-    ``root`` (no parent), ``fast_forward_fix``, ``fast_forward`` (one parent,
-    with change id), ``unexplained`` (one parent, neither), and for merges by the
-    distinct changes and bugs they bring: ``empty_merge``, ``simple_merge`` (one
-    change), ``complex_merge``.
+
+def classify(commits: DataFrame, side: DataFrame, links: DataFrame, cutoff: int, date: str = "date") -> DataFrame:
+    """``cid, kind``: how each commit of the mainline (the rows of ``commits`` with ``on_master_branch``) is treated.
+
+    ``legacy`` (not after the cutoff, or undated), ``root`` (no parent), with one
+    parent ``fast_forward_fix`` (it has a bug of ``links``), ``fast_forward``
+    (it has a change id) or ``unexplained``; merges by the distinct changes and
+    bugs that they bring (``side``): ``empty_merge`` (neither), ``revert`` (one
+    change, both it and its second parent say Revert in the first line, and that
+    parent has no change id), ``own_change`` (one change, but the merge has a
+    change id of its own and no files: ignored), ``simple_merge`` (one change)
+    and ``complex_merge``.
     """
-    side = commits.join(closure_stats.withColumnRenamed("merge", "cid"), "cid", "left").join(fixes.select("cid", F.lit(True).alias("fixes")), "cid", "left")
-    parents = F.greatest(F.size("parents"), F.lit(0))
-    changes, bugs = F.coalesce(F.col("changes"), F.lit(0)), F.coalesce(F.col("bugs_brought"), F.lit(0))
+    head = F.split_part(F.col("msg"), F.lit("\n"), F.lit(1)).contains("Revert")
+    second = commits.select(F.col("cid").alias("p2"), F.coalesce(head & F.col("change_id").isNull(), F.lit(False)).alias("p2_reverts"))
+    fixes = links.select("cid", F.lit(True).alias("fixes")).distinct()
+    main = commits.filter(F.col("on_master_branch")).select("cid", "parents", "change_id", "msg", "files", date, F.try_element_at("parents", F.lit(2)).alias("p2"))
+    rows = main.join(side.withColumnRenamed("merge", "cid"), "cid", "left").join(fixes, "cid", "left").join(second, "p2", "left")
+    parents, none = F.greatest(F.size("parents"), F.lit(0)), F.lit(0)
+    changes, bugs = F.coalesce("changes", none), F.coalesce("bugs", none)
     kind = (
-        F.when(parents == 0, "root")
+        F.when(F.coalesce(date, none) <= cutoff, "legacy")
+        .when(parents == 0, "root")
         .when((parents == 1) & F.col("fixes"), "fast_forward_fix")
         .when((parents == 1) & F.col("change_id").isNotNull(), "fast_forward")
         .when(parents == 1, "unexplained")
         .when((changes == 0) & (bugs == 0), "empty_merge")
+        .when((changes == 1) & F.coalesce(head, F.lit(False)) & F.coalesce("p2_reverts", F.lit(False)), "revert")
+        .when((changes == 1) & F.col("change_id").isNotNull() & (F.greatest(F.size("files"), none) == 0), "own_change")
         .when(changes == 1, "simple_merge")
         .otherwise("complex_merge")
     )
-    return side.select("cid", kind.alias("kind"))
+    return rows.select("cid", kind.alias("kind"))
+
 
+def guilt_entries(kinds: DataFrame, commits: DataFrame, links: DataFrame, main_ancestor: DataFrame, closure: DataFrame, date: str = "date") -> DataFrame:
+    """``cid, diff_commit, blame_commit, type, merge_commit, bug_id``: what to compare to find the lines that a fix replaced.
 
-def guilt_entries(kinds: DataFrame, commits: DataFrame, links: DataFrame, main_ancestor: DataFrame, closure: DataFrame) -> DataFrame:
-    """``cid, diff_commit, blame_commit, kind, bug_id``: what to compare to find the lines that a fix replaced.
+    ``links`` has the bugs that count.  A fast-forward fix compares itself with
+    its parent, a simple merge its second parent with the first mainline ancestor
+    of that.  In a complex merge each commit brought in that has a change id and
+    a bug is compared on its own:
 
-    A fast-forward fix compares itself with its parent; a simple merge its second
-    parent with the first mainline ancestor of that; in a complex merge every
-    commit brought in that names a bug is compared with its own parent.
+    * with its first parent, if that is on the mainline (``complex_merge_1``);
+    * else, if it has children on the mainline, the earliest of them (ties by
+      id) with that child's first parent (``complex_merge_2``);
+    * else, if it has one parent, with that (``complex_merge_3``); a commit with
+      several gives nothing.
     """
-    parent = commits.select("cid", F.try_element_at("parents", F.lit(1)).alias("p1"), F.try_element_at("parents", F.lit(2)).alias("p2"))
-    own = links.select("cid", "bug_id")
-    forward = kinds.filter("kind = 'fast_forward_fix'").join(parent, "cid").join(own, "cid").select("cid", F.col("cid").alias("diff_commit"), F.col("p1").alias("blame_commit"), "kind", "bug_id")
-    brought = closure.join(own.withColumnRenamed("cid", "node"), "node").select(F.col("merge").alias("cid"), "node", "bug_id").distinct()
-    simple = kinds.filter("kind = 'simple_merge'").join(parent, "cid").join(brought.select("cid", "bug_id").distinct(), "cid").join(main_ancestor.select(F.col("node").alias("p2"), F.col("stop")), "p2", "left").select("cid", F.col("p2").alias("diff_commit"), F.col("stop").alias("blame_commit"), "kind", "bug_id")
-    complex_ = kinds.filter("kind = 'complex_merge'").join(brought, "cid").join(parent.select(F.col("cid").alias("node"), "p1"), "node").select("cid", F.col("node").alias("diff_commit"), F.col("p1").alias("blame_commit"), "kind", "bug_id")
-    return forward.unionByName(simple).unionByName(complex_)
+    main = F.coalesce("on_master_branch", F.lit(False))
+    known = commits.select("cid", main.alias("main"), F.greatest(F.size("parents"), F.lit(0)).alias("n"), F.try_element_at("parents", F.lit(1)).alias("p1"), F.try_element_at("parents", F.lit(2)).alias("p2"), F.col("change_id").isNotNull().alias("tracked"))
+    own = links.select("cid", "bug_id").distinct()
+    out = ["cid", "diff_commit", "blame_commit", "type", "merge_commit", "bug_id"]
+
+    forward = kinds.filter("kind = 'fast_forward_fix'").join(known, "cid").join(own, "cid")
+    forward = forward.select("cid", F.col("cid").alias("diff_commit"), F.col("p1").alias("blame_commit"), F.lit("fast_forward").alias("type"), F.col("cid").alias("merge_commit"), "bug_id")
+
+    brought = closure.join(own.withColumnRenamed("cid", "node"), "node").select("merge", "node", "bug_id").distinct()
+    merges = kinds.withColumnRenamed("cid", "merge")
+    simple = merges.filter("kind = 'simple_merge'").join(brought.select("merge", "bug_id").distinct(), "merge").join(known.select(F.col("cid").alias("merge"), "p2"), "merge").join(main_ancestor.select(F.col("node").alias("p2"), "stop"), "p2", "left")
+    simple = simple.select(F.col("p2").alias("cid"), F.col("p2").alias("diff_commit"), F.col("stop").alias("blame_commit"), F.lit("simple_merge").alias("type"), F.col("merge").alias("merge_commit"), "bug_id")
+
+    child = commits.filter(main).select(F.struct(F.col(date).isNull().alias("undated"), F.col(date).alias("at"), F.col("cid").alias("child"), F.try_element_at("parents", F.lit(1)).alias("base")).alias("c"), F.explode("parents").alias("node"))
+    first_child = child.filter("node is not null").groupBy("node").agg(F.min("c").alias("c")).select("node", "c.child", "c.base")
+    side = merges.filter("kind = 'complex_merge'").join(brought, "merge").join(known.filter("tracked").select(F.col("cid").alias("node"), "n", "p1"), "node")
+    side = side.join(known.select(F.col("cid").alias("p1"), F.col("main").alias("from_main")), "p1", "left").join(first_child, "node", "left")
+    first, second = F.coalesce("from_main", F.lit(False)), F.col("child").isNotNull()
+    way = F.when(first, "complex_merge_1").when(second, "complex_merge_2").when(F.col("n") == 1, "complex_merge_3")
+    complex_ = side.select(F.col("node").alias("cid"), F.when(~first & second, F.col("child")).otherwise(F.col("node")).alias("diff_commit"), F.when(~first & second, F.col("base")).otherwise(F.col("p1")).alias("blame_commit"), way.alias("type"), F.col("merge").alias("merge_commit"), "bug_id").filter("type is not null")
+    return forward.select(out).unionByName(simple.select(out)).unionByName(complex_.select(out))
+
+
+def entry_weights(entries: DataFrame, bugs: DataFrame, level: str) -> DataFrame:
+    """Adds ``weight``: of the bugs of one comparison for one merge the greatest severity above the base of the level, at least 0."""
+    keys = ["cid", "diff_commit", "type", "merge_commit"]  # these settle the base
+    heavy = entries.join(bugs.select(F.col("id").alias("bug_id"), severity(F.col("importance")).alias("w")), "bug_id").groupBy(*keys).agg(F.greatest(F.max("w") - F.lit(K.BASE_LEVEL[level]), F.lit(0)).alias("weight"))
+    return entries.join(heavy, keys)
 
 
 def count_fixes(commits: DataFrame, least: int | None = None, most: int | None = None, cutoff: int = 0) -> DataFrame:

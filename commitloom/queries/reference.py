@@ -276,7 +276,7 @@ def parse_blueprint(s, d):
     return commits(s, d).select("cid", P.blueprint(text).alias("blueprint")).filter("blueprint is not null")
 
 
-@query(f"WITH {CC}, m AS (SELECT cid, on_master_branch, 'Fix it' || chr(10) || '(cherry picked from commit ' || lower(parents[1]) || ')' AS t FROM cur_c), p AS (SELECT cid, regexp_extract(t, '\\(cherry picked from commit ([a-f0-9]{{40}})', 1) AS f FROM m WHERE on_master_branch) SELECT DISTINCT cid, f AS picked_from FROM p WHERE f IN (SELECT cid FROM cur_c)")
+@query(f"WITH {CC}, p AS (SELECT cid, regexp_extract(msg, '\\(cherry picked from commit ([a-f0-9]{{40}})', 1) AS f FROM cur_c WHERE on_master_branch) SELECT DISTINCT cid, f AS picked_from FROM p WHERE f IN (SELECT cid FROM cur_c)")
 def cherry_links(s, d):
     return joins.cherry_picks(commits(s, d))
 
@@ -410,10 +410,6 @@ def special_committers(s, d):
     return commits(s, d).filter(P.contains_any(F.col("committer"), ["Gatekeeper", "review."])).select("cid")
 
 
-@query(f"WITH {CC} SELECT cid, on_master_branch AND len(parents) >= 2 AS merge FROM cur_c WHERE parents IS NOT NULL AND on_master_branch IS NOT NULL")
-def merge_commits(s, d):
-    c = commits(s, d).filter("parents is not null and on_master_branch is not null").withColumn("on_mainline", F.lit(True))
-    return c.select("cid", bugfix.is_merge(c).alias("merge"))
 
 
 @query(f"WITH {CC} SELECT cid, NOT (coalesce(on_master_branch, false) AND coalesce(committed_date, 0) > 1400000000 AND coalesce(len(files), 0) = 0) AS reachable FROM cur_c")
@@ -431,7 +427,7 @@ def children(s, d):
     return joins.children(commits(s, d)).select("parent", "child", "pos")
 
 
-@query(f"WITH RECURSIVE {_FP}, w AS (SELECT cid AS node, cid AS here, 0 AS distance FROM fp UNION SELECT w.node, f.up, w.distance + 1 FROM w JOIN fp f ON f.cid = w.here WHERE NOT f.main AND f.up IN (SELECT cid FROM fp) AND w.distance < 2000) SELECT node, here AS stop, distance FROM w JOIN fp f ON f.cid = w.here WHERE f.main")
+@query(f"WITH RECURSIVE {_FP}, w AS (SELECT cid AS node, cid AS here, 0 AS distance FROM fp UNION SELECT w.node, f.up, w.distance + 1 FROM w JOIN fp f ON f.cid = w.here WHERE NOT f.main AND f.up IN (SELECT cid FROM fp) AND w.distance < (SELECT count(*) FROM fp)) SELECT node, here AS stop, distance FROM w JOIN fp f ON f.cid = w.here WHERE f.main")
 def first_mainline_ancestor(s, d):
     c = commits(s, d)
     return graph.walk_to(graph.first_parents(c), c.filter("coalesce(on_master_branch, false)").select(F.col("cid").alias("node"))).filter("stop is not null").select("node", "stop", "distance")
@@ -441,7 +437,7 @@ def _heads(s, d):
     return commits(s, d).filter("on_master_branch").groupBy("project").agg(F.max_by("cid", F.struct("committed_date", "cid")).alias("node")).select("node")
 
 
-_HEADS = f"{_FP}, hd AS (SELECT cid FROM (SELECT cid, row_number() OVER (PARTITION BY project ORDER BY committed_date DESC NULLS LAST, cid DESC) AS k FROM cur_c WHERE on_master_branch) WHERE k = 1), ml AS (SELECT cid AS node, 0 AS position FROM hd UNION SELECT f.up, m.position + 1 FROM ml m JOIN fp f ON f.cid = m.node WHERE f.up IN (SELECT cid FROM fp) AND m.position < 5000), mm AS (SELECT node, min(position) AS position FROM ml GROUP BY 1)"
+_HEADS = f"{_FP}, hd AS (SELECT cid FROM (SELECT cid, row_number() OVER (PARTITION BY project ORDER BY committed_date DESC NULLS LAST, cid DESC) AS k FROM cur_c WHERE on_master_branch) WHERE k = 1), ml AS (SELECT cid AS node, 0 AS position FROM hd UNION SELECT f.up, m.position + 1 FROM ml m JOIN fp f ON f.cid = m.node WHERE f.up IN (SELECT cid FROM fp) AND m.position < (SELECT count(*) FROM fp)), mm AS (SELECT node, min(position) AS position FROM ml GROUP BY 1)"
 
 
 def _mainline(s, d):
@@ -456,6 +452,13 @@ def mainline_walk(s, d):
     return _mainline(s, d)
 
 
+@query(f"WITH RECURSIVE {_HEADS} SELECT cid, on_master_branch AND coalesce(len(parents), 0) >= 2 AND cid IN (SELECT node FROM mm) AS merge FROM cur_c WHERE on_master_branch IS NOT NULL")
+def merge_commits(s, d):
+    line = _mainline(s, d).select(F.col("node").alias("cid"), F.lit(True).alias("on_mainline"))
+    c = commits(s, d).filter("on_master_branch is not null").join(line, "cid", "left").fillna(False, ["on_mainline"])
+    return c.select("cid", bugfix.is_merge(c).alias("merge"))
+
+
 @query(f"WITH RECURSIVE {_HEADS} SELECT node, position FROM mm WHERE position % 25 = 0 OR position = (SELECT max(position) FROM mm) - 1")
 def mainline_samples(s, d):
     return graph.sample_mainline(_mainline(s, d), 25)
@@ -471,7 +474,7 @@ def _closure(s, d):
     return graph.branch_closure(merges, edges, c.filter("on_master_branch").select(F.col("cid").alias("node")))
 
 
-_CLOSURE = f"{CC}, {_EDGES}, bc AS (SELECT cid AS merge, parents[2] AS node, 1 AS depth FROM cur_c WHERE on_master_branch AND len(parents) >= 2 AND parents[2] IS NOT NULL AND parents[2] NOT IN (SELECT cid FROM cur_c WHERE on_master_branch) UNION SELECT b.merge, o.parent, b.depth + 1 FROM bc b JOIN off o ON o.child = b.node WHERE b.depth < 300), bb AS (SELECT merge, node, max(depth) AS depth FROM bc GROUP BY 1, 2)"
+_CLOSURE = f"{CC}, {_EDGES}, bc AS (SELECT cid AS merge, parents[2] AS node, 1 AS depth FROM cur_c WHERE on_master_branch AND len(parents) >= 2 AND parents[2] IS NOT NULL AND parents[2] NOT IN (SELECT cid FROM cur_c WHERE on_master_branch) UNION SELECT b.merge, o.parent, b.depth + 1 FROM bc b JOIN off o ON o.child = b.node WHERE b.depth < (SELECT count(*) FROM cur_c)), bb AS (SELECT merge, node, max(depth) AS depth FROM bc GROUP BY 1, 2)"
 
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT merge, node, depth FROM bb")
@@ -715,28 +718,63 @@ def three_way_windows(s, d):
 
 # classification and Python sources ------------------------------------------
 _FIXED = "status IN ('Fix Committed', 'Fix Released') AND importance IN ('Critical', 'High', 'Medium', 'Low')"
-_KINDS = f"{_CLOSURE}, {CB}, {_LINKS}, st AS (SELECT merge, count(DISTINCT change_id) AS changes FROM bb JOIN cur_c ON cid = node GROUP BY 1), nm AS (SELECT node, merge FROM (SELECT node, merge, row_number() OVER (PARTITION BY node ORDER BY depth, merge) AS k FROM bb) WHERE k = 1), br AS (SELECT merge, count(DISTINCT bug_id) AS bugs FROM nm JOIN lk ON cid = node GROUP BY 1), ql AS (SELECT cid, bug_id FROM lk JOIN cur_b ON id = bug_id WHERE {_FIXED}), kd AS (SELECT cid, CASE WHEN coalesce(len(parents), 0) = 0 THEN 'root' WHEN len(parents) = 1 AND cid IN (SELECT cid FROM ql) THEN 'fast_forward_fix' WHEN len(parents) = 1 AND change_id IS NOT NULL THEN 'fast_forward' WHEN len(parents) = 1 THEN 'unexplained' WHEN coalesce(changes, 0) = 0 AND coalesce(bugs_, 0) = 0 THEN 'empty_merge' WHEN changes = 1 THEN 'simple_merge' ELSE 'complex_merge' END AS kind FROM (SELECT c.cid, c.parents, c.change_id, st.changes, br.bugs AS bugs_ FROM cur_c c LEFT JOIN st ON st.merge = c.cid LEFT JOIN br ON br.merge = c.cid WHERE c.on_master_branch))"
-_WALK = "fp AS (SELECT cid, parents[1] AS up, coalesce(on_master_branch, false) AS main FROM cur_c), wk AS (SELECT cid AS node, cid AS here, 0 AS distance FROM fp UNION SELECT w.node, f.up, w.distance + 1 FROM wk w JOIN fp f ON f.cid = w.here WHERE NOT f.main AND f.up IN (SELECT cid FROM fp) AND w.distance < 2000), an AS (SELECT node, here AS stop FROM wk JOIN fp f ON f.cid = wk.here WHERE f.main)"
+_CUTOFF = 1_350_000_000
+_KINDS = f"""{_CLOSURE}, {CB}, {_LINKS}, ql AS (SELECT cid, bug_id FROM lk JOIN cur_b ON id = bug_id WHERE {_FIXED}),
+sc AS (SELECT merge, count(DISTINCT change_id) AS changes FROM bb JOIN cur_c ON cid = node GROUP BY 1),
+sb AS (SELECT merge, count(DISTINCT bug_id) AS bugs FROM bb JOIN ql ON cid = node GROUP BY 1),
+kd AS (SELECT c.cid, CASE
+  WHEN coalesce(c.committed_date, 0) <= {_CUTOFF} THEN 'legacy'
+  WHEN coalesce(len(c.parents), 0) = 0 THEN 'root'
+  WHEN len(c.parents) = 1 THEN CASE WHEN c.cid IN (SELECT cid FROM ql) THEN 'fast_forward_fix' WHEN c.change_id IS NOT NULL THEN 'fast_forward' ELSE 'unexplained' END
+  WHEN coalesce(changes, 0) = 0 AND coalesce(sb.bugs, 0) = 0 THEN 'empty_merge'
+  WHEN changes = 1 AND contains(split_part(c.msg, chr(10), 1), 'Revert') AND contains(split_part(p.msg, chr(10), 1), 'Revert') AND p.cid IS NOT NULL AND p.change_id IS NULL THEN 'revert'
+  WHEN changes = 1 AND c.change_id IS NOT NULL AND coalesce(len(c.files), 0) = 0 THEN 'own_change'
+  WHEN changes = 1 THEN 'simple_merge' ELSE 'complex_merge' END AS kind
+FROM cur_c c LEFT JOIN sc ON sc.merge = c.cid LEFT JOIN sb ON sb.merge = c.cid LEFT JOIN cur_c p ON p.cid = c.parents[2] WHERE c.on_master_branch)"""
+_WALK = "fp AS (SELECT cid, parents[1] AS up, coalesce(on_master_branch, false) AS main FROM cur_c), wk AS (SELECT cid AS node, cid AS here, 0 AS distance FROM fp UNION SELECT w.node, f.up, w.distance + 1 FROM wk w JOIN fp f ON f.cid = w.here WHERE NOT f.main AND f.up IN (SELECT cid FROM fp) AND w.distance < (SELECT count(*) FROM fp)), an AS (SELECT node, here AS stop FROM wk JOIN fp f ON f.cid = wk.here WHERE f.main)"
+_ENTRIES = f"""{_KINDS}, {_WALK},
+bt AS (SELECT DISTINCT merge, node, bug_id FROM bb JOIN ql ON ql.cid = node),
+ch AS (SELECT cid AS child, parents[1] AS base, committed_date AS born, unnest(parents) AS node FROM cur_c WHERE on_master_branch),
+fc AS (SELECT node, child, base FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY born NULLS LAST, child) AS k FROM ch) WHERE k = 1),
+en AS (
+  SELECT k.cid, k.cid AS diff_commit, c.parents[1] AS blame_commit, 'fast_forward' AS type, k.cid AS merge_commit, bug_id FROM kd k JOIN cur_c c USING (cid) JOIN (SELECT DISTINCT cid, bug_id FROM ql) USING (cid) WHERE kind = 'fast_forward_fix'
+  UNION ALL SELECT c.parents[2], c.parents[2], an.stop, 'simple_merge', k.cid, b.bug_id FROM kd k JOIN cur_c c USING (cid) JOIN (SELECT DISTINCT merge, bug_id FROM bt) b ON b.merge = k.cid LEFT JOIN an ON an.node = c.parents[2] WHERE kind = 'simple_merge'
+  UNION ALL SELECT n.cid, CASE WHEN p.on_master_branch THEN n.cid WHEN fc.child IS NOT NULL THEN fc.child ELSE n.cid END, CASE WHEN p.on_master_branch THEN n.parents[1] WHEN fc.child IS NOT NULL THEN fc.base ELSE n.parents[1] END,
+    CASE WHEN p.on_master_branch THEN 'complex_merge_1' WHEN fc.child IS NOT NULL THEN 'complex_merge_2' ELSE 'complex_merge_3' END, k.cid, b.bug_id
+    FROM kd k JOIN bt b ON b.merge = k.cid JOIN cur_c n ON n.cid = b.node LEFT JOIN cur_c p ON p.cid = n.parents[1] LEFT JOIN fc ON fc.node = n.cid
+    WHERE kind = 'complex_merge' AND n.change_id IS NOT NULL AND (coalesce(p.on_master_branch, false) OR fc.child IS NOT NULL OR len(n.parents) = 1))"""
+
+
+def _counted(s, d, c):
+    b = bugs(s, d)
+    return bugfix.qualified_links(joins.commit_bug_links(c, b), b)
+
+
+def _kinds(s, d, c, links, closure):
+    return bugfix.classify(c, bugfix.side_stats(closure, c, links), links, _CUTOFF, "committed_date")
 
 
 @query(f"WITH RECURSIVE {_KINDS} SELECT cid, kind FROM kd")
 def commit_kinds(s, d):
     c = commits(s, d)
-    links = joins.commit_bug_links(c, bugs(s, d))
-    closure = _closure(s, d)
-    stats = graph.closure_summary(closure, c).select("merge", "changes")
-    brought = graph.gather_into(closure, links, "bug_id").groupBy("merge").agg(F.count(F.lit(1)).alias("bugs_brought"))
-    fixes = bugfix.bug_fix_commits(links, bugs(s, d))
-    return bugfix.classify(c.filter("on_master_branch"), stats.join(brought, "merge", "left"), fixes)
+    return _kinds(s, d, c, _counted(s, d, c), _closure(s, d))
 
 
-@query(f"WITH RECURSIVE {_KINDS}, {_WALK}, bt AS (SELECT DISTINCT merge, node, bug_id FROM bb JOIN ql ON ql.cid = node) SELECT k.cid, k.cid AS diff_commit, c.parents[1] AS blame_commit, kind, bug_id FROM kd k JOIN cur_c c USING (cid) JOIN ql USING (cid) WHERE kind = 'fast_forward_fix' UNION ALL SELECT k.cid, c.parents[2], an.stop, kind, b.bug_id FROM kd k JOIN cur_c c USING (cid) JOIN (SELECT DISTINCT merge, bug_id FROM bt) b ON b.merge = k.cid LEFT JOIN an ON an.node = c.parents[2] WHERE kind = 'simple_merge' UNION ALL SELECT k.cid, b.node, n.parents[1], kind, b.bug_id FROM kd k JOIN bt b ON b.merge = k.cid JOIN cur_c n ON n.cid = b.node WHERE kind = 'complex_merge'")
-def fix_comparisons(s, d):
+def _entries(s, d):
     c = commits(s, d)
-    b = bugs(s, d)
-    links = bugfix.qualified_links(joins.commit_bug_links(c, b), b)
+    links, closure = _counted(s, d, c), _closure(s, d)
     main = c.filter("coalesce(on_master_branch, false)").select(F.col("cid").alias("node"))
-    return bugfix.guilt_entries(commit_kinds(s, d), c, links, graph.walk_to(graph.first_parents(c), main), _closure(s, d))
+    return bugfix.guilt_entries(_kinds(s, d, c, links, closure), c, links, graph.walk_to(graph.first_parents(c), main), closure, "committed_date")
+
+
+@query(f"WITH RECURSIVE {_ENTRIES} SELECT cid, diff_commit, blame_commit, type, merge_commit, bug_id FROM en")
+def fix_comparisons(s, d):
+    return _entries(s, d)
+
+
+@query(f"WITH RECURSIVE {_ENTRIES}, wt AS (SELECT en.*, {SEVERITY_SQL.format('importance')} AS w FROM en JOIN cur_b ON id = bug_id) SELECT cid, diff_commit, merge_commit, type, bug_id, greatest(max(w) OVER (PARTITION BY cid, diff_commit, blame_commit, type, merge_commit) - 1, 0) AS weight FROM wt")
+def fix_weights(s, d):
+    return bugfix.entry_weights(_entries(s, d), bugs(s, d), "med+").select("cid", "diff_commit", "merge_commit", "type", "bug_id", "weight")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    The cluster's setting ``spark.checkpoint.dir`` wins; a folder of our own is
-    set only where neither that nor a context checkpoint folder exists.
+    The cluster's setting ``spark.checkpoint.dir`` wins.  A folder of our own is
+    set only where neither that nor a context checkpoint folder exists and all
+    tasks run on this machine; on a cluster that is an error, as executors would
+    not find what others wrote.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not wanted and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="commitloom-"))
     return context.getCheckpointDir()
 
@@ -45,20 +49,26 @@ def fresh(taken: Iterable[str], base: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; columns with maps, which cannot be hashed, go in as JSON."""
+    return F.xxhash64(*[F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields])
+
+
 def current_rows(df: DataFrame, keys: list[str], version: str = "ingested_at", tie: list | None = None) -> DataFrame:
     """The current row of each record of a version log.
 
     The row with the greatest ``version`` wins; identical copies count once.
     Rows with null keys form one record of their own, a null version is older
     than any other; versions that tie are settled by ``tie`` (columns in
-    descending order), else arbitrarily.
+    descending order), then by a hash of the whole row, so that the same rows
+    always give the same result.
 
     ``row_number() = 1`` lets Spark keep one row per key in each map task before
     the shuffle, so a key that holds a large part of all rows costs no more
     than any other.
     """
     rank = fresh(df.columns, "_rank")
-    order = [F.col(version).desc_nulls_last(), *[F.col(t).desc_nulls_last() for t in tie or []]]
+    order = [F.col(version).desc_nulls_last(), *[F.col(t).desc_nulls_last() for t in tie or []], row_hash(df)]
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) == 1).drop(rank)
 
 
