@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, cut_round
 
 
 def first_parents(commits: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def walk_to(links: DataFrame, stops: DataFrame) -> DataFrame:
     left, rounds = open_.count(), 0
     while left and (1 << rounds) <= 2 * left + (1 << 20):
         other = reduce(DataFrame.unionAll, [*done, open_]).select(F.col("node").alias("anc"), F.col("stop").alias("o_stop"), F.col("distance").alias("o_distance"), F.col("anc").alias("o_anc"), F.col("step").alias("o_step"))
-        state = cut(open_.join(other, "anc").select("node", F.col("o_stop").alias("stop"), (F.col("o_distance") + F.col("step")).cast("int").alias("distance"), F.col("o_anc").alias("anc"), (F.col("step") + F.coalesce(F.when(F.col("o_anc").isNotNull(), F.col("o_step")), F.lit(0))).cast("int").alias("step")))
+        state = cut_round(open_.join(other, "anc").select("node", F.col("o_stop").alias("stop"), (F.col("o_distance") + F.col("step")).cast("int").alias("distance"), F.col("o_anc").alias("anc"), (F.col("step") + F.coalesce(F.when(F.col("o_anc").isNotNull(), F.col("o_step")), F.lit(0))).cast("int").alias("step")))
         done.append(state.filter("anc is null"))
         open_ = state.filter("anc is not null")
         before, left, rounds = left, open_.count(), rounds + 1
@@ -51,13 +51,13 @@ def mainline(links: DataFrame, heads: DataFrame) -> DataFrame:
     reach = cut(links.filter("parent is not null").select("node", "parent", F.lit(1).alias("step")))
     found = cut(heads.select("node").distinct().withColumn("position", F.lit(0)))
     while True:
-        nxt = cut(found.join(reach, "node").select(F.col("parent").alias("node"), (F.col("position") + F.col("step")).alias("position")))
-        merged = cut(found.unionByName(nxt).groupBy("node").agg(F.min("position").alias("position")))
+        nxt = cut_round(found.join(reach, "node").select(F.col("parent").alias("node"), (F.col("position") + F.col("step")).alias("position")))
+        merged = cut_round(found.unionByName(nxt).groupBy("node").agg(F.min("position").alias("position")))
         if merged.count() == found.count():
             return merged
         found = merged
         up = reach.select(F.col("node").alias("parent"), F.col("parent").alias("p2"), F.col("step").alias("s2"))
-        reach = cut(reach.join(up, "parent").select("node", F.col("p2").alias("parent"), (F.col("step") + F.col("s2")).alias("step")))
+        reach = cut_round(reach.join(up, "parent").select("node", F.col("p2").alias("parent"), (F.col("step") + F.col("s2")).alias("step")))
 
 
 def branch_closure(merges: DataFrame, parents: DataFrame, main: DataFrame) -> DataFrame:
@@ -78,12 +78,12 @@ def branch_closure(merges: DataFrame, parents: DataFrame, main: DataFrame) -> Da
         nodes = found.select("node").distinct().count()
         if step > 2 * nodes:  # no path without a cycle has as many links as there are nodes, every cycle has gone round by now
             return found.withColumn("depth", F.when(F.col("depth") <= nodes, F.col("depth")))
-        further = cut(found.join(reach, "node").groupBy("merge", F.col("parent").alias("node")).agg((F.max("depth") + step).alias("depth")))
+        further = cut_round(found.join(reach, "node").groupBy("merge", F.col("parent").alias("node")).agg((F.max("depth") + step).alias("depth")))
         if not further.limit(1).count():
             return found
-        found = cut(found.unionByName(further).groupBy("merge", "node").agg(F.max("depth").alias("depth")))
+        found = cut_round(found.unionByName(further).groupBy("merge", "node").agg(F.max("depth").alias("depth")))
         up = reach.select(F.col("node").alias("parent"), F.col("parent").alias("p2"))
-        reach, step = cut(reach.join(up, "parent").select("node", F.col("p2").alias("parent")).distinct()), 2 * step
+        reach, step = cut_round(reach.join(up, "parent").select("node", F.col("p2").alias("parent")).distinct()), 2 * step
 
 
 def closure_summary(closure: DataFrame, commits: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("node").alias("b"), "l"), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("m"))
         hop = label.select(F.col("node").alias("l"), F.col("l").alias("ll"))
         new = label.join(near, "node").join(hop, "l", "left").select("node", F.least("l", "m", F.coalesce("ll", "l")).alias("n"), "l")
-        new = cut(new)
+        new = cut_round(new)
         moved = new.filter("n <> l").limit(1).count()
         label = new.select("node", F.col("n").alias("l"))
         if not moved:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import walk_to
-from ..operators.hierarchy import commit_links, contradicted, descendants, hierarchy
+from ..operators.hierarchy import commit_links, contradicted, descendants, hierarchy, paths
 from ..operators.nested import flatten_json
 from ..operators.orphans import orphan_report, repository_orphans
 from ..runtime import current_rows, table, undeleted
@@ -78,13 +78,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """The full path of each commit, from its root, joined by blanks."""
-    tree = hierarchy(commit_links(table(spark, d, "commits")), with_path=True)
-    return tree.select(F.col("node").alias("cid"), F.array_join("path", " ").alias("path"), "depth")
+    found = paths(commit_links(table(spark, d, "commits")))
+    return found.select(F.col("node").alias("cid"), F.array_join("path", " ").alias("path"), "depth")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of a commit and a commit below it."""
-    return descendants(hierarchy(commit_links(table(spark, d, "commits")), with_path=True)).select(F.col("ancestor").alias("cid"), F.col("descendant").alias("descendant_cid"), "distance")
+    return descendants(commit_links(table(spark, d, "commits"))).select(F.col("ancestor").alias("cid"), F.col("descendant").alias("descendant_cid"), "distance")
 
 
 def p4_recorded(spark: SparkSession, d: str) -> DataFrame:
@@ -160,5 +160,6 @@ ORACLE = {
     "p2_reasons": _P2 + "SELECT src_table, src_key, ref_field, ref_value, reason FROM found WHERE reason IS NOT NULL",
     "p2_by_month": _P2 + "SELECT src_table, ref_field, strftime(made_at, '%Y-%m') AS month, reason, count(*) AS orphans FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
     "p4_found": _P4_LINKS + "SELECT cid, root_cid, depth FROM tree UNION ALL SELECT r.cid, min(r.hit), -1 FROM reach r JOIN ring g ON g.cid = r.hit GROUP BY r.cid",
+    "p4_paths": _P4_LINKS + ", way AS (SELECT cid, cid AS path, 0 AS depth FROM link WHERE parent IS NULL UNION ALL SELECT l.cid, w.path || ' ' || l.cid, w.depth + 1 FROM way w JOIN link l ON l.parent = w.cid) SELECT cid, path, depth FROM way UNION ALL SELECT cid, NULL, -1 FROM loose",
     "p4_descendants": _P4_LINKS + ", down AS (SELECT parent AS cid, cid AS descendant_cid, 1 AS distance FROM link WHERE parent IS NOT NULL AND cid IN (SELECT cid FROM tree) UNION ALL SELECT l.parent, d.descendant_cid, d.distance + 1 FROM down d JOIN link l ON l.cid = d.cid WHERE l.parent IS NOT NULL) SELECT cid, descendant_cid, distance FROM down",
 }

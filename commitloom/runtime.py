@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for the rounds of an iteration.
+
+    Where a small side is broadcast, a round keeps the parts of the other side,
+    which is the union of all rounds before: their number would double with each
+    round, so it is held at the number of shuffle partitions.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return cut(df.coalesce(parts))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written in the shared checkpoint folder, for what iterations build on.
+
+    A checkpoint keeps the estimated size of its plan.  That of a join is the
+    product of its sides, so where a state is joined with itself in many rounds
+    the number of its digits doubles with each, and soon takes all the time.  The
+    size of written files is the true one.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(taken: Iterable[str], base: str) -> str:
     """A column name built on ``base`` that clashes with none of ``taken``."""
     names = {t.lower() for t in taken}

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from commitloom.operators.hierarchy import commit_links, descendants, hierarchy
+from commitloom.operators.hierarchy import commit_links, descendants, hierarchy, paths
 
 
 def brute(links):
@@ -20,8 +20,12 @@ def brute(links):
     return out
 
 
-def run(spark, links, **kw):
-    return hierarchy(spark.createDataFrame(list(links.items()), "node string, parent string"), **kw)
+def frame(spark, links):
+    return spark.createDataFrame(list(links.items()), "node string, parent string")
+
+
+def run(spark, links):
+    return hierarchy(frame(spark, links))
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -35,13 +39,34 @@ def test_random_forests_with_cycles(spark, seed):
 
 def test_chain_paths_and_descendants(spark):
     links = {f"{i:03d}": f"{i - 1:03d}" if i else None for i in range(37)} | {"s": "s", "t": "s"}
-    tree = run(spark, links, with_path=True)
-    rows = {r.node: r for r in tree.collect()}
-    assert rows["036"].path == [f"{i:03d}" for i in range(37)] and rows["s"].path is None and rows["t"].root == "s"
-    pairs = {(r.ancestor, r.descendant, r.distance) for r in descendants(tree).collect()}
+    rows = {r.node: r for r in paths(frame(spark, links)).collect()}
+    assert rows["036"].path == [f"{i:03d}" for i in range(37)] and rows["s"].path is None and rows["t"].depth == -1
+    assert {r.node: r.root for r in run(spark, links).collect()}["t"] == "s"
+    pairs = {(r.ancestor, r.descendant, r.distance) for r in descendants(frame(spark, links)).collect()}
     assert pairs == {(f"{a:03d}", f"{b:03d}", b - a) for b in range(37) for a in range(b)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_paths_and_descendants_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    nodes = [f"n{i:04d}" for i in range(400)]
+    links = {n: rng.choice([nodes[i - 1], nodes[i - 1], nodes[i - 1], nodes[max(0, i - rng.randint(1, 9))], None if i % 150 == 0 else nodes[i - 1]]) if i else None for i, n in enumerate(nodes)}
+    links |= {"r1": "r2", "r2": "r1", "below": "r1"}
+    want = {}
+    for n in links:
+        path, x = [], n
+        while x is not None and x not in path and len(path) < 500:
+            path.insert(0, x)
+            x = links[x]
+        want[n] = path if x is None else None
+    assert max(len(p) for p in want.values() if p) > 100
+    df = frame(spark, links)
+    assert {r.node: r.path for r in paths(df).collect()} == want
+    pairs = sorted((r.ancestor, r.descendant, r.distance) for r in descendants(df).collect())
+    assert pairs == sorted((a, n, len(p) - 1 - i) for n, p in want.items() if p for i, a in enumerate(p[:-1]))
+    assert paths(df.limit(0)).count() == 0 == descendants(df.limit(0)).count()
+
+
 def test_empty_repeated_and_star(spark):
     assert run(spark, {"a": None}).limit(0).count() == 0
     assert hierarchy(spark.createDataFrame([], "node string, parent string")).count() == 0
