@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_total
+
 
 def _rates(df: DataFrame) -> DataFrame:
     """Adds precision, recall, f1 and accuracy; null where they divide by zero."""
@@ -26,9 +28,15 @@ def sweep(df: DataFrame, keys: list[str], score: str, truth: Column, low: int, h
 
     The thresholds are whole multiples of the step, so none drifts.
     """
-    grid = df.sparkSession.range(low, high + 1).select((F.col("id") * step).alias("threshold"))
-    side = df.crossJoin(F.broadcast(grid))
-    return _rates(side.groupBy(*keys, "threshold").agg(*_counts(F.col(score) > F.col("threshold"), truth)))
+    thresholds = F.array(*[F.lit(i * step) for i in range(low, high + 1)])
+    below = F.size(F.filter(thresholds, lambda t: F.col(score) > t))  # how many thresholds the score lies above
+    flat = df.select(*keys, F.coalesce(below, F.lit(0)).alias("_b"), F.coalesce(truth, F.lit(False)).alias("_t"), F.col(score).isNotNull().alias("_known"))
+    counts = flat.filter("_known").groupBy(*keys, "_b").agg(F.count_if("_t").alias("p"), F.count_if(~F.col("_t")).alias("q"))
+    packed = counts.groupBy(*keys).agg(F.collect_list(F.struct("_b", "p", "q")).alias("c"), F.sum("p").alias("ps"), F.sum("q").alias("qs"))  # one entry for each threshold at most
+    side = packed.select(*keys, "c", "ps", "qs", F.posexplode(thresholds).alias("_i", "threshold"))
+    above = F.filter("c", lambda x: x["_b"] > F.col("_i"))
+    side = side.select(*keys, "threshold", "ps", "qs", F.aggregate(above, F.lit(0).cast("bigint"), lambda a, x: a + x["p"]).alias("tp"), F.aggregate(above, F.lit(0).cast("bigint"), lambda a, x: a + x["q"]).alias("fp"))
+    return _rates(side.select(*keys, "threshold", "tp", "fp", (F.col("ps") - F.col("tp")).alias("fn"), (F.col("qs") - F.col("fp")).alias("tn")))
 
 
 def calibration(df: DataFrame, keys: list[str], p: str, y: str, eps: float = 1e-15) -> DataFrame:
@@ -71,12 +79,10 @@ def accuracy_by_distance(df: DataFrame, horizons: list[int], row_id: str, predic
 def kth_largest(df: DataFrame, value: str, k: int) -> DataFrame:
     """``threshold``: the k-th greatest value, so that at least k rows reach it; the least positive one if fewer are positive, null if none.
 
-    Only distinct values with their counts are ordered.
+    Distinct values with their counts are summed up in ranges, never in one task.
     """
-    from pyspark.sql import Window
-
-    counts = df.filter(F.col(value) > 0).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counts = df.filter(F.col(value) > 0).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("down", -F.col("v"))
+    run = running_total(counts, ["down"], "n", "upto")
     return run.agg(F.coalesce(F.max(F.when(F.col("upto") >= k, F.col("v"))), F.min("v")).alias("threshold"))
 
 

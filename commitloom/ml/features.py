@@ -6,6 +6,8 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import dense_order
+
 from ..functions.parsing import author_org, log1
 from ..operators.reviews import review_features
 
@@ -88,7 +90,7 @@ def fit(long: DataFrame, entities: int | None = None, entity: str = "cid") -> Da
         stats = stats.withColumn("entities", n)
     sparse = F.col("n") < F.col("entities")
     ranged = stats.select("feature", F.when(sparse, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(sparse, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
-    return ranged.withColumn("index", (F.row_number().over(Window.orderBy("feature")) - 1).cast("int"))
+    return dense_order(ranged, ["feature"], "index").withColumn("index", (F.col("index") - 1).cast("int"))
 
 
 def transform(long: DataFrame, fitted: DataFrame) -> DataFrame:

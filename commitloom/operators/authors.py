@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import fresh
+from .ordering import dense_order, running_total
 
 
 def per_author(rows: DataFrame, author: str, guilt: str) -> DataFrame:
@@ -29,11 +30,13 @@ def cumulative(authors: DataFrame, value: str, rank: str, key: str) -> DataFrame
     """``key, position, total, x, y``: the running sum of ``value`` by descending ``rank``.
 
     ``x`` is the part of the authors in percent, ``y`` the part of the final sum.
-    The running sum is over one row per author, which aggregation made few.
+    Authors are ranked and summed up in ranges, never in one task.
     """
-    w = Window.orderBy(F.col(rank).desc(), key)
-    run = authors.select(key, rank, value, F.row_number().over(w).alias("_n"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("total"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_authors"), F.sum(value).over(Window.partitionBy()).alias("_all"))
-    return run.select(key, (F.col("_n") - 1).alias("position"), "total", (100.0 * (F.col("_n") - 1) / F.col("_authors")).alias("x"), (F.col("total") / F.col("_all")).alias("y"))
+    down = fresh(authors.columns, "_down")
+    rows = authors.select(key, rank, value, (-F.col(rank)).alias(down))
+    run = dense_order(running_total(rows, [down, key], value, "total"), [down, key], "_n")
+    every = authors.agg(F.count(F.lit(1)).alias("_authors"), F.sum(value).alias("_all"))
+    return run.crossJoin(F.broadcast(every)).select(key, (F.col("_n") - 1).alias("position"), "total", (100.0 * (F.col("_n") - 1) / F.col("_authors")).alias("x"), (F.col("total") / F.col("_all")).alias("y"))
 
 
 def histogram(df: DataFrame, value: str, width: float, start: float = 0.0) -> DataFrame:
@@ -57,5 +60,5 @@ def anonymous(df: DataFrame, local: Column, domain: Column, first_seen: str, nam
     part = fresh(df.columns, "_local")
     rows = df.withColumn(part, local)
     order = rows.groupBy(part).agg(F.min(first_seen).alias("_first"))
-    numbered = order.withColumn("_n", F.row_number().over(Window.orderBy("_first", part)))
+    numbered = dense_order(order, ["_first", part], "_n")
     return rows.join(numbered.select(part, "_n"), part, "left").withColumn(name, F.concat(F.lit("anon_"), F.col("_n").cast("string"), F.lit("@"), domain)).drop(part, "_n")

@@ -23,6 +23,21 @@ def dense_order(df: DataFrame, by: list[str], name: str = "order", slices: int =
     return numbered.join(F.broadcast(starts), part).withColumn(name, (F.col("before") + F.col(local)).cast("bigint")).drop(part, local, "before")
 
 
+def running_total(df: DataFrame, by: list[str], value: str, name: str = "total", slices: int = 200) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to this one by the columns ``by``, without sorting everything in one task.
+
+    Rows are parted into ranges, summed up within them, and each range goes on
+    from the sum of the ranges before.  Null values add nothing.
+    """
+    part, local, before = (fresh(df.columns, n) for n in ("_part", "_sum", "_before"))
+    ranged = cut(df.repartitionByRange(slices, *[F.col(b) for b in by]).withColumn(part, F.spark_partition_id()))
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = ranged.groupBy(part).agg(F.sum(value).alias("s")).select(part, F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias(before))
+    inside = Window.partitionBy(part).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn(local, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(starts), part).withColumn(name, F.col(before) + F.col(local)).drop(part, local, before)
+
+
 def order_within(df: DataFrame, keys: list[str], by: list[str], name: str, slices: int = 200) -> DataFrame:
     """Adds 1..n by ``by`` within each key; null keys are one key.
 

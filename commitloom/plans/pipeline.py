@@ -35,7 +35,11 @@ def ordered(commits: DataFrame) -> DataFrame:
 
 
 def data_set(commits: DataFrame, scores: DataFrame, fixes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scaled features, labels above the score that as many commits as there are fixes reach, and the fitted vocabulary."""
+    """Scaled features, labels of commits that reach the score which as many commits as there are fixes reach, and the fitted vocabulary.
+
+    The search counts commits at or above a score, so labels do too; strictly
+    above it there would be fewer than there are fixes wherever scores tie.
+    """
     scored = commits.join(scores, "cid", "left").fillna(0.0, ["guilt"])
     long = cut(feat.commit_features(scored))
     fitted = cut(feat.fit(long))

@@ -232,10 +232,11 @@ def legacy_cutoff(s, d):
     return bugfix.legacy_cutoff(commits(s, d).filter("on_master_branch"), F.col("change_id").isNotNull(), F.col("committed_date"))
 
 
-@query(_DATED + ', lo AS (SELECT max(committed_date) AS d FROM o WHERE "order" = 50), hi AS (SELECT max(committed_date) AS d FROM o WHERE "order" = 500), t AS (SELECT o.cid, o.committed_date FROM o JOIN cur_c c USING (cid) WHERE c.on_master_branch) SELECT count(*) AS fixes FROM t, lo, hi WHERE committed_date >= greatest(coalesce(lo.d, 1350000000), 1350000000) AND (hi.d IS NULL OR committed_date <= hi.d)')
+@query(_DATED + ', b AS (SELECT min("order") AS lo, max("order") AS hi FROM o WHERE committed_date > 1350000000), e AS (SELECT min(committed_date) FILTER ("order" = lo) AS first, min(committed_date) FILTER ("order" = hi) AS last FROM o, b) SELECT count(*) AS fixes FROM o JOIN cur_c c USING (cid), e WHERE c.on_master_branch AND o.committed_date >= greatest(coalesce(first, 1350000000), 1350000000) AND (last IS NULL OR o.committed_date <= last)')
 def bug_fix_count(s, d):
     rows = _ordered(s, d).withColumn("tagged_bug_fix", F.coalesce("on_master_branch", F.lit(False))).withColumnRenamed("committed_date", "date")
-    return bugfix.count_fixes(rows, 50, 500, 1_350_000_000)
+    ends = ordering.order_range(rows, reachable=None, cutoff=1_350_000_000).first()
+    return bugfix.count_fixes(rows, ends["least"], ends["greatest"], 1_350_000_000)
 
 
 # parsing --------------------------------------------------------------------
@@ -689,12 +690,16 @@ def chi2_topk(s, d):
     return feat.select_best(feat.chi2(_features(s, d), labels), 10).select("feature", F.round("chi2", 4).alias("chi2"))
 
 
-_STARTS = [(0, 300), (1, 500), (2, 900)]
-_WIN = "wn AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a})" for i, a in _STARTS) + ") v(iter, s))"
+_HISTORY, _FUTURE, _PLACES = 2000, 500, (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+#: Training takes up to 2000 rows, testing 500, at places spread over all rows (as windows.plan draws them at random).
+_WIN = f"sz AS (SELECT count(*) AS n, least({_HISTORY}, count(*) - {_FUTURE}) AS h FROM orders), wn AS (SELECT iter, h, h + cast(floor(place * (n - {_FUTURE} - h)) AS BIGINT) AS s FROM sz, (VALUES " + ", ".join(f"({i}, cast({p} AS DOUBLE))" for i, p in enumerate(_PLACES)) + ") v(iter, place) WHERE h > 0)"
 
 
-def _windows(s):
-    return s.createDataFrame([(i, a - 200, a, a, a + 100) for i, a in _STARTS], win.SCHEMA)
+def _windows(s, d):
+    n = table(s, d, "orders").count()
+    h = min(_HISTORY, n - _FUTURE)
+    starts = [(i, h + int(p * (n - _FUTURE - h))) for i, p in enumerate(_PLACES)] if h > 0 else []
+    return s.createDataFrame([(i, a - h, a, a, a + _FUTURE) for i, a in starts], win.SCHEMA)
 
 
 def _numbered(s, d):
@@ -705,14 +710,14 @@ def _numbered(s, d):
 _NUM = "nb AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_id FROM orders)"
 
 
-@query(f"WITH {_NUM}, {_WIN} SELECT o_orderkey, iter, CASE WHEN row_id < s THEN 'train' ELSE 'test' END AS part FROM nb, wn WHERE row_id >= s - 200 AND row_id < s + 100")
+@query(f"WITH {_NUM}, {_WIN} SELECT o_orderkey, iter, CASE WHEN row_id < s THEN 'train' ELSE 'test' END AS part FROM nb, wn WHERE row_id >= s - h AND row_id < s + {_FUTURE}")
 def train_test_windows(s, d):
-    return win.assign(_numbered(s, d), _windows(s)).select("o_orderkey", "iter", "part")
+    return win.assign(_numbered(s, d), _windows(s, d)).select("o_orderkey", "iter", "part")
 
 
-@query(f"WITH {_NUM}, {_WIN} SELECT iter, count(*) AS n, sum(CASE WHEN row_id >= s + 50 THEN 1 ELSE 0 END) AS validate FROM nb, wn WHERE row_id >= s - 200 AND row_id < s + 100 GROUP BY 1")
+@query(f"WITH {_NUM}, {_WIN} SELECT iter, count(*) AS n, sum(CASE WHEN row_id >= s + {_FUTURE} - 100 THEN 1 ELSE 0 END) AS validate FROM nb, wn WHERE row_id >= s - h AND row_id < s + {_FUTURE} GROUP BY 1")
 def three_way_windows(s, d):
-    parts = win.assign_three(_numbered(s, d), _windows(s), 50)
+    parts = win.assign_three(_numbered(s, d), _windows(s, d), 100)
     return parts.groupBy("iter").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") == "validate").alias("validate"))
 
 
@@ -801,7 +806,7 @@ def python_changes(s, d):
     from pyspark.sql import Window
 
     b = table(s, d, "blobs").filter("lower(path) like '%.py' and content is not null").dropDuplicates(["blob_id"])
-    w = Window.partitionBy("project", F.regexp_extract("path", "([^/]+)$", 1)).orderBy("ingested_at", "blob_id")
+    w = Window.partitionBy("project", "path").orderBy("ingested_at", "blob_id")
     pairs = b.withColumn("old", F.lag("content").over(w)).filter("old is not null")
     return lang.pair_changes(pairs, ["blob_id"], "old", "content").select("blob_id", "invalid", "changes", "cc", "new_functions", "new_classes", F.size("ranges").alias("ranges"))
 

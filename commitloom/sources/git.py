@@ -168,11 +168,22 @@ def blame(requests: DataFrame, repository: str, moves: bool = False) -> DataFram
 
 
 def cached_blame(requests: DataFrame, repository: str, cache: DataFrame | None) -> DataFrame:
-    """Blame of requests that a cache lacks, with the cache's own rows."""
+    """Blame of the lines that a cache lacks, with the cache's own rows; each line of a file counts once.
+
+    Other lines of a file that is in the cache are fetched; files that the cache
+    knows as empty or failed are not asked for again.  A cache does not tell
+    whether it has a whole file, so requests without range are always made.
+    """
     if cache is None:
         return blame(requests, repository)
-    new = requests.join(cache.select(F.col("at").alias("cid"), "path").distinct(), ["cid", "path"], "left_anti")
-    return cache.unionByName(cut(blame(new, repository)))
+    from ..operators.ranges import line_runs
+
+    lines = requests.filter("start is not null").select("cid", "path", F.explode(F.sequence("start", "end")).alias("lineno")).distinct()
+    known = cache.filter("lineno is not null").select(F.col("at").alias("cid"), "path", "lineno")
+    failed = cache.filter("lineno is null").select(F.col("at").alias("cid"), "path")
+    missing = lines.join(known, ["cid", "path", "lineno"], "left_anti").join(failed, ["cid", "path"], "left_anti")
+    new = line_runs(missing, ["cid", "path"]).select("cid", "path", "start", "end").unionByName(requests.filter("start is null").select("cid", "path", "start", "end"))
+    return cache.unionByName(cut(blame(new, repository))).dropDuplicates(["at", "path", "lineno"])
 
 
 def python_files(spark: SparkSession, folder: str, pattern: str = "*.py") -> DataFrame:
