@@ -160,6 +160,10 @@ ORACLE = {
     "p2_reasons": _P2 + "SELECT src_table, src_key, ref_field, ref_value, reason FROM found WHERE reason IS NOT NULL",
     "p2_by_month": _P2 + "SELECT src_table, ref_field, strftime(made_at, '%Y-%m') AS month, reason, count(*) AS orphans FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
     "p4_found": _P4_LINKS + "SELECT cid, root_cid, depth FROM tree UNION ALL SELECT r.cid, min(r.hit), -1 FROM reach r JOIN ring g ON g.cid = r.hit GROUP BY r.cid",
+    "p4_recorded": _P4_LINKS
+    + """, now AS (SELECT cid, on_master_branch AS main, distance_from_mainline AS recorded FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY ingested_at DESC) AS k FROM commits) WHERE k = 1 AND NOT coalesce(tombstone, false)),
+walk AS (SELECT cid AS node, cid AS here, 0 AS d FROM link UNION SELECT w.node, l.parent, w.d + 1 FROM walk w JOIN link l ON l.cid = w.here WHERE w.here NOT IN (SELECT cid FROM now WHERE main) AND l.parent IS NOT NULL AND w.d < (SELECT count(*) FROM link))
+SELECT t.cid, t.depth, n.recorded FROM tree t JOIN now n ON n.cid = t.cid JOIN walk w ON w.node = t.cid JOIN now m ON m.cid = w.here AND m.main WHERE n.recorded <> 1000000 AND n.recorded <> w.d""",
     "p4_paths": _P4_LINKS + ", way AS (SELECT cid, cid AS path, 0 AS depth FROM link WHERE parent IS NULL UNION ALL SELECT l.cid, w.path || ' ' || l.cid, w.depth + 1 FROM way w JOIN link l ON l.parent = w.cid) SELECT cid, path, depth FROM way UNION ALL SELECT cid, NULL, -1 FROM loose",
     "p4_descendants": _P4_LINKS + ", down AS (SELECT parent AS cid, cid AS descendant_cid, 1 AS distance FROM link WHERE parent IS NOT NULL AND cid IN (SELECT cid FROM tree) UNION ALL SELECT l.parent, d.descendant_cid, d.distance + 1 FROM down d JOIN link l ON l.cid = d.cid WHERE l.parent IS NOT NULL) SELECT cid, descendant_cid, distance FROM down",
 }

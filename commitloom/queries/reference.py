@@ -366,9 +366,9 @@ def vote_summary(s, d):
     return details(s, d).select("_number", reviews.vote_sum(code).alias("votes"), F.greatest(F.size(reviews.cast_votes(code)), F.lit(0)).alias("cast_votes"), reviews.max_revision(F.col("messages")).alias("revision"), code["approved"]["name"].alias("approved"))
 
 
-@query(f"WITH {CD}, l AS (SELECT _number, unnest(map_keys(labels)) AS label FROM cur_d) SELECT _number, label FROM l WHERE label IN ('Workflow', 'Verified', 'Code-Review')")
+@query(f"WITH {CD}, l AS (SELECT _number, unnest(map_entries(labels)) AS e FROM cur_d) SELECT _number, e.key AS label FROM l WHERE e.key IN ('Workflow', 'Verified', 'Code-Review') AND e.value IS NOT NULL")
 def kept_labels(s, d):
-    return details(s, d).select("_number", F.explode(F.map_keys(F.map_filter("labels", lambda k, v: k.isin("Workflow", "Verified", "Code-Review")))).alias("label"))
+    return details(s, d).select("_number", F.explode(F.map_keys(reviews.kept_labels(F.col("labels")))).alias("label"))
 
 
 @query(f"WITH {CD}, m AS (SELECT _number, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM cur_d), r AS (SELECT _number, arg_max(m._revision_number, i) AS last FROM m WHERE m IS NOT NULL AND m._revision_number IS NOT NULL GROUP BY 1) SELECT m._number, count(*) AS messages FROM m LEFT JOIN r USING (_number) WHERE m.m IS NOT NULL AND (m.m._revision_number IS NULL OR m.m._revision_number = r.last) GROUP BY 1")
@@ -376,6 +376,16 @@ def last_revision_messages(s, d):
     return details(s, d).select("_number", F.size(reviews.last_revision_messages(F.col("messages"))).alias("messages")).filter("messages > 0")
 
 
+@query(f"WITH {CD} SELECT _number, labels IS NOT NULL OR messages IS NOT NULL AS has_data, list_max(list_transform(list_filter(messages, lambda m: m IS NOT NULL), lambda m: m._revision_number)) AS revision, labels['Code-Review'].approved.name AS approved_code, labels['Workflow'].approved.name AS approved_workflow, coalesce(list_sum(list_transform(list_filter(labels['Code-Review'].all, lambda v: v IS NOT NULL), lambda v: coalesce(v.value, 0))), 0) AS votes FROM cur_d")
+def review_features(s, d):
+    return details(s, d).select("_number", reviews.review_features(F.col("labels"), F.col("messages")).alias("f")).select("_number", "f.*")
+
+
+@query(f"WITH {CC}, p AS (SELECT cid, regexp_extract(msg, '\\(cherry picked from commit ([a-f0-9]{{40}})', 1) AS f FROM cur_c WHERE on_master_branch) SELECT f AS cid, array_to_string(list_sort(list(DISTINCT cid)), ' ') AS picked_to FROM p WHERE f IN (SELECT cid FROM cur_c) GROUP BY 1")
+def cherry_reverse(s, d):
+    return joins.picked_to(joins.cherry_picks(commits(s, d))).select("cid", F.array_join("picked_to", " ").alias("picked_to"))
+
+
 @query(f"WITH {CH}, {CD} SELECT DISTINCT change_id FROM cur_h WHERE change_id IS NOT NULL AND change_id NOT IN (SELECT change_id FROM cur_d WHERE change_id IS NOT NULL)")
 def details_to_fetch(s, d):
     return joins.new_rows(changes(s, d).select("change_id").filter("change_id is not null").distinct(), details(s, d).filter("change_id is not null"), "change_id")
