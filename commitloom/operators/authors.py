@@ -19,10 +19,25 @@ def active(authors: DataFrame, least: int = 10) -> DataFrame:
     return authors.filter(F.col("commits") > least)
 
 
+def percentiles(df: DataFrame, value: str, parts: dict[str, float]) -> DataFrame:
+    """One row with the exact, linearly interpolated percentiles ``name: part``; nulls are left out, no values give nulls.
+
+    Counts of distinct values are summed up in ranges; the values at the two
+    places around each percentile are picked from the sums.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    run = running_total(counts, ["v"], "n", "upto").crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all"))))
+    picked = []
+    for name, part in parts.items():
+        place = (F.col("all") - 1) * F.lit(part)
+        picked += [F.min(F.when(F.col("upto") > F.floor(place), F.col("v"))).alias(f"{name}_a"), F.min(F.when(F.col("upto") > F.ceil(place), F.col("v"))).alias(f"{name}_b"), F.max(place - F.floor(place)).alias(f"{name}_f")]
+    return run.agg(*picked).select(*[(F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * F.col(f"{n}_f")).alias(n) for n in parts])
+
+
 def trim(df: DataFrame, value: str, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """Rows whose value lies within two percentiles (exact, linear), both included; nulls are left out."""
     lo, hi = fresh(df.columns, "_lo"), fresh(df.columns, "_hi")
-    ends = df.agg(F.percentile(value, F.lit(lower)).alias(lo), F.percentile(value, F.lit(upper)).alias(hi))
+    ends = percentiles(df, value, {lo: lower, hi: upper})
     return df.crossJoin(F.broadcast(ends)).filter(F.col(value).between(F.col(lo), F.col(hi))).drop(lo, hi)
 
 

@@ -46,3 +46,14 @@ def test_other_lines_of_a_cached_file_are_fetched(spark, monkeypatch):
     got = {(r.at, r.path, r.lineno): r.cid for r in git.cached_blame(requests, "r", cache).collect()}
     assert sorted(asked) == [("c", "f", 2, 2), ("c", "f", 6, 7), ("d", "f", 1, 1)]
     assert got == {("c", "f", 2): "new", ("c", "f", 3): "old", ("c", "f", 4): "old", ("c", "f", 5): "old", ("c", "f", 6): "new", ("c", "f", 7): "new", ("c", "gone", None): None, ("d", "f", 1): "new"}
+
+
+def test_percentiles_like_the_built_in_ones(spark):
+    from commitloom.operators.authors import percentiles, trim
+
+    rng = random.Random(5)
+    df = spark.createDataFrame([(rng.choice([None, 1.5, 2.0, rng.random() * 9]),) for _ in range(333)], "x double")
+    got = percentiles(df, "x", {"a": 0.01, "b": 0.5, "c": 0.99, "d": 1.0}).first()
+    want = df.agg(*[F.percentile("x", F.lit(p)) for p in (0.01, 0.5, 0.99, 1.0)]).first()
+    assert all(abs(g - w) < 1e-9 for g, w in zip(got, want))
+    assert percentiles(df.limit(0), "x", {"a": 0.5}).first().a is None and trim(df.limit(0), "x").count() == 0
