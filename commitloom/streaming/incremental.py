@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..runtime import fresh, row_hash
+
 
 def stream_records(spark: SparkSession, folder: str, schema: str, at: str = "ingested_at", delay: str = "30 days") -> DataFrame:
     """Rows of Parquet files as they arrive, late by at most ``delay``."""
@@ -17,11 +19,18 @@ def arrivals(stream: DataFrame, key: str, at: str = "ingested_at", window: str =
     return stream.groupBy(F.window(at, window), key).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def merge_new(stream: DataFrame, table: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Appends rows whose key the table does not have yet, batch by batch (what was there wins)."""
+def merge_new(stream: DataFrame, table: str, key: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Appends rows whose key the table does not have yet, batch by batch (what was there wins).
+
+    Of several rows of a key in one batch the one with the greatest ``order``
+    counts, ties (and all of them without ``order``) by a hash of the row.
+    """
 
     def add(batch: DataFrame, _epoch: int) -> None:
-        new = batch.dropDuplicates([key])
+        # the row_number of 1 is kept in each map task before the shuffle
+        by = [F.col(order).desc_nulls_last()] if order else []
+        rank = fresh(batch.columns, "_rank")
+        new = batch.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*by, row_hash(batch)))).filter(F.col(rank) == 1).drop(rank)
         spark = batch.sparkSession
         try:
             known = spark.read.parquet(table).select(key)

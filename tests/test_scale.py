@@ -57,3 +57,13 @@ def test_percentiles_like_the_built_in_ones(spark):
     want = df.agg(*[F.percentile("x", F.lit(p)) for p in (0.01, 0.5, 0.99, 1.0)]).first()
     assert all(abs(g - w) < 1e-9 for g, w in zip(got, want))
     assert percentiles(df.limit(0), "x", {"a": 0.5}).first().a is None and trim(df.limit(0), "x").count() == 0
+
+
+def test_of_one_batch_the_latest_row_of_a_key_is_added(spark, tmp_path):
+    from commitloom.streaming import incremental
+
+    rows = [(1, 5, "late"), (1, 2, "early"), (2, None, "none"), (2, 1, "one")]
+    spark.createDataFrame(rows, "k int, at int, v string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, at int, v string").parquet(str(tmp_path / "in"))
+    incremental.merge_new(stream, str(tmp_path / "out"), "k", str(tmp_path / "cp"), "at").awaitTermination()
+    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "late"), (2, "one")}
