@@ -13,18 +13,34 @@ def diff_lines(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> Da
 
     Diffs lead from parent to child, so the parent's lines are those that are
     kept or removed.  A missing length means one line; hunks without parent
-    lines are left out, as they have nothing to blame.
+    lines are left out, as they have nothing to blame.  Keys name one diff each;
+    repeated rows count once.
     """
-    lines = diffs.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    # spread by key while they are whole texts: what follows groups by key, and shuffles no lines
+    once = diffs.select(*keys, text).repartition(*keys).distinct()
+    lines = once.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     head = F.regexp_extract("line", HUNK, 1)
     size = F.regexp_extract("line", HUNK, 2)
+    is_head, mark = F.col("line").startswith("@@"), F.substring("line", 1, 1)
+    starts = F.when(is_head & (head != ""), head.cast("int"))
+    sizes = F.when(is_head, F.coalesce(F.nullif(size, F.lit("")).cast("int"), F.lit(1)))
+    named = F.col("line").startswith("--- a/") | F.col("line").startswith("+++ b/")
+    read = lines.filter(is_head | mark.isin(" ", "+", "-") & ~named).select(*keys, "at", "line", mark.alias("mark"), is_head.alias("is_head"), starts.alias("starts"), sizes.alias("sizes"))
     w = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("is_head", F.col("line").startswith("@@")).withColumn("hunk", F.sum(F.col("is_head").cast("int")).over(w))
-    starts = F.when(F.col("is_head") & (head != ""), head.cast("int"))
-    sizes = F.when(F.col("is_head"), F.coalesce(F.nullif(size, F.lit("")).cast("int"), F.lit(1)))
-    whole = marked.withColumn("p_start", F.last(starts, ignorenulls=True).over(w)).withColumn("p_len", F.last(sizes, ignorenulls=True).over(w))
-    inside = whole.filter((F.col("hunk") > 0) & ~F.col("is_head") & (F.col("p_len") > 0))
-    return inside.withColumn("mark", F.substring("line", 1, 1)).select(*keys, "hunk", "p_start", "p_len", "at", "mark", "line").filter("mark in (' ', '+', '-') and not startswith(line, '--- a/') and not startswith(line, '+++ b/')")
+    whole = read.select("*", F.sum(F.col("is_head").cast("int")).over(w).alias("hunk"), F.last("starts", ignorenulls=True).over(w).alias("p_start"), F.last("sizes", ignorenulls=True).over(w).alias("p_len"))
+    return whole.filter((F.col("hunk") > 0) & ~F.col("is_head") & (F.col("p_len") > 0)).select(*keys, "hunk", "p_start", "p_len", "at", "mark", "line")
+
+
+def _touched(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``lines`` with the parent lines that each of them touches (null for none), and whether it is the first of its hunk."""
+    by_hunk = Window.partitionBy(*keys, "hunk").orderBy("at")
+    before = by_hunk.rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum((F.col("mark") != "+").cast("int")).over(before), F.lit(0))
+    # the last removed or kept line before an added one, without added ones in between
+    last_other = F.last(F.when(F.col("mark") != "+", F.col("mark")), ignorenulls=True).over(before)
+    placed = lines.select("*", (F.col("p_start") + used).alias("p"), last_other.alias("last_other"), (F.count(F.lit(1)).over(before) == 0).alias("is_first"))
+    touched = F.when(F.col("mark") == "-", F.array("p")).when((F.col("mark") == "+") & (F.col("last_other") == "-"), F.array(F.col("p") - 1)).when(F.col("mark") == "+", F.array(F.col("p") - 1, F.col("p")))
+    return placed.withColumn("touched", touched)
 
 
 def change_seeds(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,22 +50,24 @@ def change_seeds(lines: DataFrame, keys: list[str]) -> DataFrame:
     place of insertion; an added line right after removed ones touches only the
     last of these.
     """
-    by_hunk = Window.partitionBy(*keys, "hunk").orderBy("at")
-    before = by_hunk.rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum((F.col("mark") != "+").cast("int")).over(before), F.lit(0))
-    placed = lines.withColumn("p", F.col("p_start") + used)
-    # the last removed or kept line before an added one, without added ones in between
-    last_other = F.last(F.when(F.col("mark") != "+", F.col("mark")), ignorenulls=True).over(before)
-    seeds = placed.withColumn("lines", F.when(F.col("mark") == "-", F.array("p")).when((F.col("mark") == "+") & (last_other == "-"), F.array(F.col("p") - 1)).when(F.col("mark") == "+", F.array(F.col("p") - 1, F.col("p"))))
-    return seeds.filter("lines is not null").select(*keys, F.explode("lines").alias("lineno")).distinct()
+    return _touched(lines, keys).filter("touched is not null").select(*keys, F.explode("touched").alias("lineno")).distinct()
 
 
 def proximity(lines: DataFrame, keys: list[str], limit: int = 4) -> DataFrame:
-    """``keys, lineno, proximity``: parent lines of the hunks within ``limit - 1`` lines of a change; a changed line has 1."""
-    windows = lines.select(*keys, "p_start", "p_len").distinct().select(*keys, F.explode(F.sequence(F.col("p_start"), F.col("p_start") + F.col("p_len") - 1)).alias("lineno")).distinct()
-    rings = change_seeds(lines, keys).select(*keys, F.explode(F.sequence(F.lit(1 - limit), F.lit(limit - 1))).alias("off"), "lineno")
-    near = rings.groupBy(*keys, (F.col("lineno") + F.col("off")).alias("lineno")).agg((F.min(F.abs("off")) + 1).alias("proximity"))
-    return near.join(windows, [*keys, "lineno"], "left_semi")
+    """``keys, lineno, proximity``: parent lines of the hunks within ``limit - 1`` lines of a change; a changed line has 1.
+
+    Each hunk gives its parent lines, each touched line those around it; grouped
+    by line, the ones that have both are left.  A join of the two would be planned
+    as a broadcast: nothing tells how many lines a text has, so its size is
+    estimated as that of a few numbers for each diff.
+    """
+    offsets = F.sequence(F.lit(1 - limit), F.lit(limit - 1))
+    start = F.col("p_start").cast("bigint")
+    whole = F.transform(F.sequence(start, start + F.col("p_len") - 1), lambda n: F.struct(n.alias("lineno"), F.lit(None).cast("int").alias("near")))
+    rings = F.flatten(F.transform("touched", lambda n: F.transform(offsets, lambda off: F.struct((n + off).alias("lineno"), (F.abs(off) + 1).alias("near")))))
+    marks = _touched(lines, keys).select(*keys, F.explode(F.array(F.when(F.col("is_first"), whole), rings)).alias("marks")).select(*keys, F.inline("marks"))
+    by_line = marks.groupBy(*keys, "lineno").agg(F.min("near").alias("proximity"), F.bool_or(F.col("near").isNull()).alias("in_hunk"))
+    return by_line.filter("in_hunk and proximity is not null").drop("in_hunk")
 
 
 def line_runs(lines: DataFrame, keys: list[str], line: str = "lineno") -> DataFrame:

@@ -540,8 +540,9 @@ def range_line_counts(s, d):
 @query("WITH k AS (SELECT DISTINCT p_partkey, p_size FROM part), w AS (SELECT p_partkey, p_size, unnest(generate_series(p_size, p_size + 9)) AS lineno FROM k) SELECT p_partkey, lineno, abs(lineno - (p_size + 3)) + 1 AS proximity FROM w WHERE abs(lineno - (p_size + 3)) < 4")
 def diff_proximity(s, d):
     head = F.concat(F.lit("@@ -"), F.col("p_size"), F.lit(",10 +"), F.col("p_size"), F.lit(",9 @@\n a\n b\n c\n-gone\n d\n e\n f\n g\n h\n i"))
-    diffs = table(s, d, "part").select("p_partkey", F.concat(F.lit("--- a/x\n+++ b/x\n"), head).alias("diff_text"))
-    return ranges.proximity(ranges.diff_lines(diffs, ["p_partkey"]), ["p_partkey"])
+    diffs = table(s, d, "part").select("p_partkey", "p_size", F.concat(F.lit("--- a/x\n+++ b/x\n"), head).alias("diff_text"))
+    keys = ["p_partkey", "p_size"]
+    return ranges.proximity(ranges.diff_lines(diffs, keys), keys).drop("p_size")
 
 
 @query(f"WITH {CC} SELECT cid, len(string_split(msg, chr(10))) AS loc_add, 2 AS loc_remove FROM cur_c WHERE msg IS NOT NULL")

@@ -19,6 +19,29 @@ def test_diff_seeds_and_proximity(spark):
     assert (loc["add"], loc["remove"], loc["change"]) == (3, 1, 3)
 
 
+def test_proximity_of_many_diffs_broadcasts_nothing(spark, tmp_path):
+    """By its columns in a file the input looks tiny; its lines, of which no plan knows, must not go through the driver."""
+    rows = [(1, 5, DIFF), (1, 5, DIFF), (None, 5, DIFF), (2, 6, None), (2, 7, "@@ -1,2 +0,0 @@\n-a\n-b\n@@ -3 +1,2 @@\n x\n+y")]
+    spark.createDataFrame(rows, "k int, n int, diff_text string").write.parquet(str(tmp_path / "diffs"))
+    near = ranges.proximity(ranges.diff_lines(spark.read.parquet(str(tmp_path / "diffs")), ["k", "n"]), ["k", "n"], 3)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1
+    mine = [(10, 3), (11, 2), (12, 1), (13, 2), (14, 3), (40, 2), (41, 1), (42, 1)]
+    assert sorted((r.k or 0, r.n, r.lineno, r.proximity) for r in near.collect()) == [(k, 5, *x) for k in (0, 1) for x in mine] + [(2, 7, n, 1) for n in (1, 2, 3)]
+
+
+def test_proximity_of_repeated_parts_is_that_of_sql(spark, tmp_path):
+    import duckdb
+
+    from commitloom.queries import ORACLE, QUERIES
+
+    rows = [(1, 5), (1, 5), (2, 7), (3, 1), (3, 4), (None, 9), (None, 9), (4, None)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["diff_proximity"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(ORACLE["diff_proximity"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall()
+    assert len(want) == 35 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_runs_and_merged_ranges(spark):
     rows = spark.createDataFrame([(1, x) for x in (1, 2, 2, 3, 7, 9, 10)], "k int, lineno int")
     assert {(r.start, r.end) for r in ranges.line_runs(rows, ["k"]).collect()} == {(1, 3), (7, 7), (9, 10)}
